@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute df once and keep it in the shared folder, so that a lost executor costs nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for a context, so that it needn't be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_inkstone_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="inkstone-")) / "inkstone_package.zip"  # on the driver, which serves it
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._inkstone_shipped = True
