@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import paragraph_rows, table
-from . import lookalike, spans, terms, versions
+from . import bpe, language, lookalike, packing, spans, terms, versions
 
 RECORDS = ("tang_poem", "ci")
 
@@ -25,6 +25,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": lambda s, d: lookalike.same_look_pairs(_records(s, d)),
         "p3_spelling": lambda s, d: lookalike.consistent_spelling(_records(s, d)),
         "p5_found": lambda s, d: versions.version_pairs(table(s, d, "tang_poem")),
+        "p7_ids": lambda s, d: bpe.encode_texts(table(s, d, "documents")),
+        "p8_packing": lambda s, d: packing.pack_sequences(bpe.token_counts(table(s, d, "documents"))),
+        "p8_fill": lambda s, d: packing.sequence_fill(packing.pack_sequences(bpe.token_counts(table(s, d, "documents")))),
+        "p9_found": lambda s, d: language.mislabelled_runs(table(s, d, "documents"), table(s, d, "lang_name")),
+        "p9_documents": lambda s, d: language.document_languages(table(s, d, "documents"), table(s, d, "lang_name")),
+        "p9_segments": lambda s, d: language.language_runs(table(s, d, "documents"), table(s, d, "lang_name")).select("doc_id", "run", "first_line", "last_line", "lang", "confidence"),
         "p5_groups": lambda s, d: versions.version_groups(table(s, d, "tang_poem")),
     }
 
