@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents in the training sample at most, and lines of one language among them.
-SAMPLE_DOCS, SAMPLE_LINES = 4000, 800
+SAMPLE_DOCS, SAMPLE_LINES = 2000, 600
 HIDDEN = 16
 #: Bytes in a window: longer lines are labelled window by window; windows of training are shorter.
 WINDOW, TRAIN_WINDOW = 256, 96
 #: Byte positions that are labelled at once.
-_POSITIONS = 1 << 18
+_POSITIONS, _ROWS = 1 << 18, 2048
+#: Stands behind the end of a line; adds nothing to a state.
+PADDING = 256
 _TEXT_BLOCK = 1 << 22
 
 
@@ -44,46 +46,40 @@ class Network:
             "W": rng.normal(0, 1 / np.sqrt(h), (2, h, classes)),
             "b": np.zeros(classes),
         }
+        self.p["T"][:, PADDING] = 0
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def _step(self, d: int | slice, x: np.ndarray, s: np.ndarray, h: np.ndarray):
-        """Gates and candidate from the byte's part x and the state's part s."""
-        n = self.hidden
-        gates = _sigmoid(x[..., : 2 * n] + s[..., : 2 * n])
-        z, r = gates[..., :n], gates[..., n:]
-        return z, r, np.tanh(x[..., 2 * n :] + r * s[..., 2 * n :])
-
     def train_step(self, byte: np.ndarray, mask: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients; byte (time, 2, rows) forward and reversed, mask (time, rows) of the letters."""
+        """Gradients; byte (time, rows) with 256 behind the end of a row, mask (time, rows) of the letters.
+
+        The backward unit starts at the padding, which leaves its state at zero.
+        """
         p, n = self.p, self.hidden
-        steps, _, rows = byte.shape
+        steps, rows = byte.shape
         h = np.zeros((2, rows, n), np.float32)
         kept = []
         d = np.arange(2)[:, None]
+        both = np.stack([byte, byte[::-1]], 1)
         states = np.zeros((steps, 2, rows, n), np.float32)
         for t in range(steps):
-            s = h @ p["U"]
-            z, r, c = self._step(slice(None), p["T"][d, byte[t]], s, h)
+            x, s = p["T"][d, both[t]], h @ p["U"]
+            gates = _sigmoid(x[..., : 2 * n] + s[..., : 2 * n])
+            z, r = gates[..., :n], gates[..., n:]
+            c = np.tanh(x[..., 2 * n :] + r * s[..., 2 * n :])
             kept.append((h, s[..., 2 * n :], z, r, c))
             h = h + z * (c - h)
             states[t] = h
-        length = (byte[:, 0] < 256).sum(0)
-        back = np.clip(length - 1 - np.arange(steps)[:, None], 0, None)  # place of a byte in the reversed row
-        who = np.arange(rows)
-        logits = states[:, 0] @ p["W"][0] + states[back, 1, who] @ p["W"][1] + p["b"]
+        forward, backward = states[:, 0], states[::-1, 1]
+        logits = forward @ p["W"][0] + backward @ p["W"][1] + p["b"]
         e = np.exp(logits - logits.max(-1, keepdims=True))
         prob = e / e.sum(-1, keepdims=True)
         weight = mask / np.maximum(mask.sum(0), 1) / rows
-        prob[:, who, label] -= 1
+        prob[:, np.arange(rows), label] -= 1
         dl = (prob * weight[..., None]).astype(np.float32)
         g = {k: np.zeros_like(v) for k, v in p.items()}
         g["b"] = dl.sum((0, 1))
-        g["W"][0] = np.einsum("tbh,tbc->hc", states[:, 0], dl, optimize=True)
-        g["W"][1] = np.einsum("tbh,tbc->hc", states[back, 1, who], dl, optimize=True)
-        ds = np.zeros_like(states)
-        ds[:, 0] = dl @ p["W"][0].T
-        rev = dl @ p["W"][1].T
-        np.add.at(ds, (back, 1, who), np.where((np.arange(steps)[:, None] < length)[..., None], rev, 0))
+        g["W"][0], g["W"][1] = (np.einsum("tbh,tbc->hc", s, dl, optimize=True) for s in (forward, backward))
+        ds = np.stack([dl @ p["W"][0].T, (dl @ p["W"][1].T)[::-1]], 1)
         carried = np.zeros((2, rows, n), np.float32)
         drawn = np.zeros((steps, 2, rows, 3 * n), np.float32)
         for t in range(steps - 1, -1, -1):
@@ -92,75 +88,70 @@ class Network:
             dac = dh * z * (1 - c * c)
             daz = dh * (c - h) * z * (1 - z)
             dar = dac * sc * r * (1 - r)
-            dx = np.concatenate([daz, dar, dac], -1)
             dss = np.concatenate([daz, dar, dac * r], -1)
             g["U"] += h.transpose(0, 2, 1) @ dss
             carried = dh * (1 - z) + dss @ p["U"].transpose(0, 2, 1)
-            drawn[t] = dx
+            drawn[t] = np.concatenate([daz, dar, dac], -1)
         for k in range(2):
-            flat, which = drawn[:, k].reshape(-1, 3 * n), byte[:, k].ravel()
+            flat, which = drawn[:, k].reshape(-1, 3 * n), both[:, k].ravel()
             order = np.argsort(which, kind="stable")
             first = np.flatnonzero(np.diff(which[order], prepend=-1))
             g["T"][k, which[order][first]] = np.add.reduceat(flat[order], first)
-        g["T"][:, 256] = 0
+        g["T"][:, PADDING] = 0
         return g
 
     def line_scores(self, data: np.ndarray, letter: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Sum over the letters of each run of bytes of the class probabilities."""
-        p, n = self.p, self.hidden
+        n, halved = self.hidden, self._halved()
         out = np.zeros((len(begin), self.classes))
         order = np.argsort(length, kind="stable")
         start = 0
         while start < len(order):
-            widest = int(length[order[min(start + 4096, len(order)) - 1]])
-            rows = max(1, min(4096, _POSITIONS // max(widest, 1)))
-            own = order[start : start + rows]
+            widest = int(length[order[min(start + _ROWS, len(order)) - 1]])
+            own = order[start : start + max(1, min(_ROWS, _POSITIONS // max(widest, 1)))]
             start += len(own)
-            steps = int(length[own].max())
+            steps, rows = int(length[own].max()), len(own)
             if not steps:
                 continue
             t = np.arange(steps)[:, None]
             inside = t < length[own]
             at = np.minimum(begin[own] + t, len(data) - 1)
-            byte = np.where(inside, data[at], 256)
-            marks = inside & letter[at]
-            back = np.maximum(length[own] - 1 - t, 0)
-            reverse = np.where(inside, data[np.minimum(begin[own] + back, len(data) - 1)], 256)
-            logits = []
-            for k, x in enumerate((byte, reverse)):
-                h = np.zeros((len(own), n), np.float32)
-                s, inward = np.empty((len(own), 3 * n), np.float32), np.empty((len(own), 3 * n), np.float32)
-                each = np.empty((steps, len(own), self.classes), np.float32)
-                half = self.halved[k]
-                for i in range(steps):
-                    np.take(half[0], x[i], axis=0, out=inward, mode="clip")
-                    np.matmul(h, half[1], out=s)
-                    g = s[:, : 2 * n]
-                    g += inward[:, : 2 * n]
-                    np.tanh(g, out=g)  # gates are (1 + g) / 2
-                    c = s[:, 2 * n :]
-                    c *= g[:, n:] + 1  # half[1] holds half of the candidate's weights
-                    c += inward[:, 2 * n :]
-                    np.tanh(c, out=c)
-                    c -= h
-                    c *= (g[:, :n] + 1) * np.float32(0.5)
-                    h = h + c
-                    np.matmul(h, p["W"][k], out=each[i])
-                logits.append(each)
-            column = np.broadcast_to(np.arange(len(own)), marks.shape)[marks]
-            both = logits[0][marks] + logits[1][back[marks], column] + p["b"]
-            e = np.exp(both - both.max(1, keepdims=True))
-            e /= e.sum(1, keepdims=True)
-            for k in range(self.classes):
-                out[own, k] = np.bincount(column, weights=e[:, k], minlength=len(own))
+            byte = np.where(inside, data[at], PADDING)
+            logits = np.empty((steps, rows, self.classes), np.float32)
+            s, x, one, two = (np.empty((rows, w * n), np.float32) for w in (3, 3, 1, 1))
+            more = np.empty((rows, self.classes), np.float32)
+            for k, times in ((0, range(steps)), (1, range(steps - 1, -1, -1))):
+                h = np.zeros((rows, n), np.float32)
+                table, inner, outer = halved[k]
+                for i in times:
+                    table.take(byte[i], axis=0, out=x, mode="clip")
+                    np.matmul(h, inner, out=s)
+                    g, c = s[:, : 2 * n], s[:, 2 * n :]
+                    g += x[:, : 2 * n]
+                    np.tanh(g, out=g)  # gates are (1 + g) / 2; inner holds half of the candidate's weights
+                    np.add(g[:, n:], 1, out=one)
+                    c *= one
+                    c += x[:, 2 * n :]
+                    np.tanh(c, out=two)
+                    two -= h
+                    np.add(g[:, :n], 1, out=one)
+                    two *= one
+                    two *= np.float32(0.5)
+                    h += two
+                    if k == 0:
+                        np.matmul(h, outer, out=logits[i])
+                    else:
+                        logits[i] += np.matmul(h, outer, out=more)
+            logits += self.p["b"]
+            np.exp(logits, out=logits)  # states are within -1..1, which bounds the logits
+            weight = (inside & letter[at]) / (logits.reshape(-1, self.classes) @ np.ones(self.classes, np.float32)).reshape(steps, rows)
+            out[own] = np.einsum("tbc,tb->bc", logits, weight)
         return out
 
-    @property
-    def halved(self) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _halved(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Weights with the gates' halves folded in: sigmoid(x) = (1 + tanh(x / 2)) / 2."""
-        n = self.hidden
-        scale = np.concatenate([np.full(2 * n, 0.5), np.ones(n)]).astype(np.float32)
-        return [(np.ascontiguousarray(self.p["T"][k] * scale), np.ascontiguousarray(self.p["U"][k] * np.float32(0.5))) for k in range(2)]
+        scale = np.concatenate([np.full(2 * self.hidden, 0.5), np.ones(self.hidden)]).astype(np.float32)
+        return [(np.ascontiguousarray(self.p["T"][k] * scale), np.ascontiguousarray(self.p["U"][k] * np.float32(0.5)), np.ascontiguousarray(self.p["W"][k])) for k in range(2)]
 
 
 def fit(windows: list[bytes], masks: list[np.ndarray], labels: np.ndarray, classes: int, network: Network | None = None, rounds: int = 6, rate: float = 0.01, rows: int = 128, seed: int = 0) -> Network:
@@ -177,11 +168,11 @@ def fit(windows: list[bytes], masks: list[np.ndarray], labels: np.ndarray, class
         for k in rng.permutation(batches):
             own = order[k * rows : (k + 1) * rows]
             steps = int(lengths[own].max())
-            byte = np.full((steps, 2, len(own)), 256)
+            byte = np.full((steps, len(own)), PADDING)
             mask = np.zeros((steps, len(own)), np.float32)
             for j, i in enumerate(own):
                 w = np.frombuffer(windows[i], np.uint8)
-                byte[: len(w), 0, j], byte[: len(w), 1, j], mask[: len(w), j] = w, w[::-1], masks[i]
+                byte[: len(w), j], mask[: len(w), j] = w, masks[i]
             g = net.train_step(byte, mask, labels[own])
             step += 1
             slower = rate * (1 - 0.95 * step / last)
@@ -244,7 +235,10 @@ def with_label_language(df: DataFrame, names: DataFrame, lang: str = "lang", nam
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES, seed: int = 0) -> tuple[Network, list[str]] | None:
     """Fit the network on at most sample_docs documents with a label_lang, chosen by a hash of their key; None without any."""
-    rows = labelled.where(F.col("label_lang").isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(text).alias("t"), "label_lang").orderBy("h", "t").limit(sample_docs).collect()
+    usable = labelled.where(F.col("label_lang").isNotNull() & F.col(text).isNotNull()).withColumn("h", F.xxhash64(key))
+    share = min(1.0, 1.5 * sample_docs / max(usable.count(), 1))  # so that no task sends many more than are needed
+    near = usable.where(F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30)))
+    rows = near.select("h", F.col(text).alias("t"), "label_lang").orderBy("h", "t").limit(sample_docs).collect()
     codes = sorted({r.label_lang for r in rows})
     rng = np.random.default_rng(seed)
     windows, masks, labels = [], [], []
