@@ -89,7 +89,8 @@ def _enrich(s: SparkSession, d: str) -> DataFrame:
 def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     r = table(s, d, "ci_rank")
     cut = F.lit("2024-03-15").cast("timestamp_ntz")
-    return r.where(F.col("fetched_at").cast("timestamp_ntz") < cut), r.where(F.col("fetched_at").cast("timestamp_ntz") >= cut)
+    early = F.coalesce(F.col("fetched_at").cast("timestamp_ntz") < cut, F.lit(False))  # rows without a time are new ones
+    return r.where(early), r.where(~early)
 
 
 def _misses(s: SparkSession, d: str) -> DataFrame:
@@ -143,6 +144,13 @@ def _windows(s: SparkSession, d: str) -> DataFrame:
     return C.windows(C.corpus_blocks(_docs(s, d), CONTEXT), frame, CONTEXT)
 
 
+def _grid(s: SparkSession, d: str) -> DataFrame:
+    """Windows at 100 starts spread evenly over the corpus."""
+    last = _total(s, d) - CONTEXT - 1
+    starts = s.range(100).select((F.col("id") * last / 99).cast("long").alias("start")).distinct()
+    return C.windows(C.corpus_blocks(_docs(s, d), CONTEXT), starts, CONTEXT)
+
+
 def _split(s: SparkSession, d: str) -> DataFrame:
     """Characters of each document in the training and in the validation part of the corpus."""
     total = _total(s, d)
@@ -256,6 +264,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "train_val_split": _split,
         "bigram_counts": lambda s, d: V.bigram_counts(_docs(s, d)),
         "char_windows": _windows,
+        "window_grid": _grid,
         "page_counts": _page_counts,
         "query_keys": lambda s, d: R.with_query_key(_ci(s, d)).select("rec_id", "kd"),
         "low_count_tally": lambda s, d: R.low_counts(_rank(s, d)),
@@ -355,7 +364,7 @@ def _tally(engine: str) -> str:
 def oracle_sql() -> dict[str, str]:
     upserted = ", ".join(f"greatest(max(o_{e}), max(n_{e})) AS {e}" for e in ENGINES)
     halves = " UNION ALL ".join(
-        f"SELECT source_file, rec_pos, {', '.join(f'{e} AS {p}_{e}, NULL AS {q}_{e}' for e in ENGINES)} FROM ci_rank WHERE fetched_at {op} {_SPLIT_DATE}" for p, q, op in (("o", "n", "<"), ("n", "o", ">="))
+        f"SELECT source_file, rec_pos, {', '.join(f'{e} AS {p}_{e}, NULL AS {q}_{e}' for e in ENGINES)} FROM ci_rank WHERE {cond}" for p, q, cond in (("o", "n", f"fetched_at < {_SPLIT_DATE}"), ("n", "o", f"fetched_at IS NULL OR fetched_at >= {_SPLIT_DATE}"))
     )
     halves = f"SELECT source_file, rec_pos, {', '.join(f'o_{e}, n_{e}' for e in ENGINES)} FROM ({halves.split(' UNION ALL ')[0]}) UNION ALL SELECT source_file, rec_pos, {', '.join(f'o_{e}, n_{e}' for e in ENGINES)} FROM ({halves.split(' UNION ALL ')[1]})"
     draws = f"""WITH {_LOGITS}, {_probabilities(1.0, None)}, cum AS (SELECT vec_id, id, sum(e) OVER (PARTITION BY vec_id ORDER BY id) / sum(e) OVER (PARTITION BY vec_id) AS c FROM probs)
@@ -399,8 +408,10 @@ def oracle_sql() -> dict[str, str]:
         "total_chars": f"WITH {_DOCS} SELECT (sum(length(text)) + 2 * (count(*) - 1))::BIGINT AS total FROM docs",
         "encode_docs": f"WITH {_CHARS} SELECT doc_id, coalesce(string_agg(id::VARCHAR, ' ' ORDER BY i), '') AS ids FROM docs LEFT JOIN (SELECT doc_id, i, id FROM chars JOIN vocab USING (ch)) USING (doc_id) GROUP BY doc_id",
         "decode_docs": f"WITH {_DOCS} SELECT doc_id, text FROM docs",
-        "train_val_split": f"WITH {_PLACED}, at AS (SELECT floor(n * (1 - 0.1::DOUBLE))::BIGINT AS k FROM total), v AS (SELECT doc_id, start::BIGINT AS doc_start, size, greatest(0, least(size, k - start))::BIGINT AS t FROM placed, at) SELECT doc_id, doc_start, t AS train_chars, size - t AS val_chars FROM v",
+        "train_val_split": f"WITH {_PLACED}, cutoff AS (SELECT floor(n * (1 - 0.1::DOUBLE))::BIGINT AS k FROM total), v AS (SELECT doc_id, start::BIGINT AS doc_start, size, greatest(0, least(size, k - start))::BIGINT AS t FROM placed, cutoff) SELECT doc_id, doc_start, t AS train_chars, size - t AS val_chars FROM v",
         "bigram_counts": f"WITH {_DOCS}, p AS (SELECT text, unnest(range(1, length(text))) AS i FROM docs WHERE length(text) > 1) SELECT substring(text, i, 1) AS x, substring(text, i + 1, 1) AS y, count(*) AS n FROM p GROUP BY ALL",
+        "window_grid": f"""WITH {_DOCS}, c AS (SELECT string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS t FROM docs), n AS (SELECT t, length(t) - {CONTEXT} - 1 AS last FROM c),
+            g AS (SELECT DISTINCT t, floor(k * last / 99)::BIGINT AS start FROM n, range(100) r(k)) SELECT start, substring(t, start + 1, {CONTEXT}) AS x, substring(t, start + 2, {CONTEXT}) AS y FROM g""",
         "page_counts": f"WITH {_RANK} SELECT source_file, rec_pos, {', '.join(f'coalesce({e}, 0) AS {e}' for e in ENGINES if e != 'bing_en')}, CASE WHEN bing_en IS NULL THEN 0 ELSE 7 END::BIGINT AS bing_en FROM ranks",
         "query_keys": f"WITH {_CI} SELECT rec_id, {_KEY.format('cis')} AS kd FROM cis",
         "low_count_tally": f"WITH {_RANK} {' UNION ALL '.join(map(_tally, R.MERGED))}",
