@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents in the training sample at most, and lines of one language among them.
-SAMPLE_DOCS, SAMPLE_LINES = 2000, 600
+SAMPLE_DOCS, SAMPLE_LINES = 4000, 1500
 HIDDEN = 16
 #: Bytes in a window: longer lines are labelled window by window; windows of training are shorter.
-WINDOW, TRAIN_WINDOW = 256, 96
+WINDOW, TRAIN_WINDOW = 256, 64
 #: Byte positions that are labelled at once.
 _POSITIONS, _ROWS = 1 << 18, 2048
 #: Stands behind the end of a line; adds nothing to a state.
@@ -154,7 +154,7 @@ class Network:
         return [(np.ascontiguousarray(self.p["T"][k] * scale), np.ascontiguousarray(self.p["U"][k] * np.float32(0.5)), np.ascontiguousarray(self.p["W"][k])) for k in range(2)]
 
 
-def fit(windows: list[bytes], masks: list[np.ndarray], labels: np.ndarray, classes: int, network: Network | None = None, rounds: int = 6, rate: float = 0.01, rows: int = 128, seed: int = 0) -> Network:
+def fit(windows: list[bytes], masks: list[np.ndarray], labels: np.ndarray, classes: int, network: Network | None = None, rounds: int = 6, rate: float = 0.02, rows: int = 64, seed: int = 0) -> Network:
     """Train by backpropagation through time with Adam on windows of bytes."""
     net = network or Network(classes, seed=seed)
     rng = np.random.default_rng(seed)
@@ -256,11 +256,11 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", sample_d
     if not windows:
         return None
     label = np.array(labels)
-    net = fit(windows, masks, label, len(codes), rounds=5, seed=seed)
+    net = fit(windows, masks, label, len(codes), rounds=3, seed=seed)
     size = np.array([len(w) for w in windows])
     scores = net.line_scores(np.frombuffer(b"".join(windows), np.uint8), np.concatenate(masks) > 0, np.cumsum(size) - size, size)
     good = np.flatnonzero(scores[np.arange(len(label)), label] >= 0.5 * scores.sum(1))
-    net = fit([windows[i] for i in good], [masks[i] for i in good], label[good], len(codes), net, rounds=10, rate=0.008, seed=seed + 1)
+    net = fit([windows[i] for i in good], [masks[i] for i in good], label[good], len(codes), net, rounds=7, rate=0.015, seed=seed + 1)
     return net, codes
 
 
