@@ -32,10 +32,10 @@ def json_array(spark: SparkSession, folder: str, element: str = schemas.POEM, gl
     empty = spark.createDataFrame([], f"source_file string, rec_pos int, {element}")
     if not _paths(spark, folder, glob):
         return empty
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.text(folder).select("value", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("path"))
+    files = reader.text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("path"))
     if path_pattern:
         files = files.where(F.col("path").rlike(path_pattern))
     if excludes:
@@ -54,14 +54,14 @@ def json_lists(spark: SparkSession, folder: str, glob: str | None = None) -> Dat
     """source_file, rec_pos, strains of files that hold an array of string lists."""
     if not _paths(spark, folder, glob):
         return spark.createDataFrame([], "source_file string, rec_pos int, strains array<string>")
-    reader = spark.read.option("wholetext", True)
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).text(folder).select("value", F.col("_metadata.file_name").alias("source_file"))
+    reader = spark.read
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("source_file"))
     return files.select("source_file", F.posexplode(F.from_json("value", "array<array<string>>")).alias("rec_pos", "strains"))
 
 
 def corpus_text(spark: SparkSession, path: str) -> DataFrame:
     """source_file, poem_pos, text of each piece between blank lines; line ends of any kind."""
-    files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("source_file"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("source_file"))
     return files.select("source_file", F.posexplode(T.poems(F.col("value"))).alias("poem_pos", "text"))
 
 
@@ -72,7 +72,7 @@ def file_sizes(spark: SparkSession, path: str) -> DataFrame:
 
 def inspect(spark: SparkSession, path: str) -> DataFrame:
     """source_file, top (array or object), records, keys (of the first record) of each JSON file."""
-    files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("source_file"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("source_file"))
     top = F.when(F.btrim("value", F.lit(" \t\r\n")).startswith("["), "array").otherwise("object")
     first = F.when(top == "array", F.get_json_object("value", "$[0]")).otherwise(F.col("value"))
     n = F.when(top == "array", F.json_array_length("value")).otherwise(F.lit(1))
