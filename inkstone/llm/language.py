@@ -2,8 +2,8 @@
 
 The network labels every byte of a line; the probabilities of a line's letters are pooled to the
 line, those of its lines to the document. It is trained in numpy by backpropagation through time on
-a bounded sample of labelled documents: labels are often wrong and texts mixed, so after a first
-round lines that the network clearly places elsewhere are left out of the second.
+a bounded sample of labelled documents. Labels are often wrong and texts mixed, so lines that a
+network trained on the other half of the sample places elsewhere are left out of the training.
 """
 
 from __future__ import annotations
@@ -18,8 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents in the training sample at most, and lines of one language among them.
-SAMPLE_DOCS, SAMPLE_LINES = 4000, 1500
+SAMPLE_DOCS, SAMPLE_LINES = 4000, 6000
 HIDDEN = 16
+#: Weight decay of the training.
+DECAY = 0.02
+#: Batches of training: of each network that judges the sample, of the last one.
+STEPS = (400, 1000)
 #: Bytes in a window: longer lines are labelled window by window; windows of training are shorter.
 WINDOW, TRAIN_WINDOW = 256, 64
 #: Byte positions that are labelled at once.
@@ -116,7 +120,7 @@ class Network:
             t = np.arange(steps)[:, None]
             inside = t < length[own]
             at = np.minimum(begin[own] + t, len(data) - 1)
-            byte = np.where(inside, data[at], PADDING)
+            byte = np.where(inside, data[at].astype(np.intp), PADDING)
             logits = np.empty((steps, rows, self.classes), np.float32)
             s, x, one, two = (np.empty((rows, w * n), np.float32) for w in (3, 3, 1, 1))
             more = np.empty((rows, self.classes), np.float32)
@@ -143,7 +147,9 @@ class Network:
                     else:
                         logits[i] += np.matmul(h, outer, out=more)
             logits += self.p["b"]
-            np.exp(logits, out=logits)  # states are within -1..1, which bounds the logits
+            if max(logits.max(), -logits.min()) > 60:  # beyond that exponentials leave the range of the numbers
+                logits -= logits.max(-1, keepdims=True)
+            np.exp(logits, out=logits)
             weight = (inside & letter[at]) / (logits.reshape(-1, self.classes) @ np.ones(self.classes, np.float32)).reshape(steps, rows)
             out[own] = np.einsum("tbc,tb->bc", logits, weight)
         return out
@@ -154,34 +160,38 @@ class Network:
         return [(np.ascontiguousarray(self.p["T"][k] * scale), np.ascontiguousarray(self.p["U"][k] * np.float32(0.5)), np.ascontiguousarray(self.p["W"][k])) for k in range(2)]
 
 
-def fit(windows: list[bytes], masks: list[np.ndarray], labels: np.ndarray, classes: int, network: Network | None = None, rounds: int = 6, rate: float = 0.02, rows: int = 64, seed: int = 0) -> Network:
+def fit(windows: list[bytes], masks: list[np.ndarray], labels: np.ndarray, classes: int, steps: int = 1000, rate: float = 0.02, rows: int = 64, seed: int = 0) -> Network:
     """Train by backpropagation through time with Adam on windows of bytes."""
-    net = network or Network(classes, seed=seed)
+    net = Network(classes, seed=seed)
     rng = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     lengths = np.array([len(w) for w in windows])
     step, batches = 0, -(-len(windows) // rows)
-    last = rounds * batches
-    for _ in range(rounds):
-        order = np.argsort(lengths + rng.random(len(lengths)) * 24, kind="stable")  # rows of like length together
-        for k in rng.permutation(batches):
+    mean = {k: np.zeros_like(v) for k, v in net.p.items()}
+    while step < steps:
+        order = rng.permutation(len(windows))  # languages differ in length, so rows of like length would be of few languages
+        for k in range(min(batches, steps - step)):
             own = order[k * rows : (k + 1) * rows]
-            steps = int(lengths[own].max())
-            byte = np.full((steps, len(own)), PADDING)
-            mask = np.zeros((steps, len(own)), np.float32)
+            longest = int(lengths[own].max())
+            byte = np.full((longest, len(own)), PADDING)
+            mask = np.zeros((longest, len(own)), np.float32)
             for j, i in enumerate(own):
                 w = np.frombuffer(windows[i], np.uint8)
                 byte[: len(w), j], mask[: len(w), j] = w, masks[i]
             g = net.train_step(byte, mask, labels[own])
             step += 1
-            slower = rate * (1 - 0.95 * step / last)
+            slower = rate * (1 - 0.95 * step / steps)
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             for name, v in g.items():
                 v = v * np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
                 first[name] = 0.9 * first[name] + 0.1 * v
                 second[name] = 0.99 * second[name] + 0.01 * v * v
-                net.p[name] = (net.p[name] - slower * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                net.p[name] = (net.p[name] * np.float32(1 - slower * DECAY) - slower * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            if step > steps - steps // 3:
+                mean = {name: v + net.p[name] for name, v in mean.items()}
+    if steps >= 3:
+        net.p = {name: v / np.float32(steps // 3) for name, v in mean.items()}  # the mean of the last third of the way
     return net
 
 
@@ -255,13 +265,21 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", sample_d
                 labels.append(c)
     if not windows:
         return None
-    label = np.array(labels)
-    net = fit(windows, masks, label, len(codes), rounds=3, seed=seed)
-    size = np.array([len(w) for w in windows])
-    scores = net.line_scores(np.frombuffer(b"".join(windows), np.uint8), np.concatenate(masks) > 0, np.cumsum(size) - size, size)
-    good = np.flatnonzero(scores[np.arange(len(label)), label] >= 0.5 * scores.sum(1))
-    net = fit([windows[i] for i in good], [masks[i] for i in good], label[good], len(codes), net, rounds=7, rate=0.015, seed=seed + 1)
-    return net, codes
+    label, half = np.array(labels), rng.integers(0, 2, len(labels))
+    good = []
+    for k in (0, 1):  # each half is judged by a network that hasn't seen it, which can't have learned its errors by heart
+        seen, other = np.flatnonzero(half != k), np.flatnonzero(half == k)
+        if not len(seen) or not len(other):
+            good.append(other)
+            continue
+        net = fit([windows[i] for i in seen], [masks[i] for i in seen], label[seen], len(codes), steps=STEPS[0], seed=seed + k)
+        size = np.array([len(windows[i]) for i in other])
+        scores = net.line_scores(np.frombuffer(b"".join(windows[i] for i in other), np.uint8), np.concatenate([masks[i] for i in other]) > 0, np.cumsum(size) - size, size)
+        good.append(other[scores[np.arange(len(other)), label[other]] >= 0.5 * scores.sum(1)])
+    keep = np.sort(np.concatenate(good))
+    if not len(keep):
+        keep = np.arange(len(label))
+    return fit([windows[i] for i in keep], [masks[i] for i in keep], label[keep], len(codes), steps=STEPS[1], seed=seed + 2), codes
 
 
 _RUNS = "label_lang string, run int, runs int, first_lang string, first_line long, last_line long, lang string, confidence double, letters long, doc_lang string, doc_confidence double"

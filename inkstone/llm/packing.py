@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: Open bins, and items in a block.
-OPEN_BINS, BLOCK = 1024, 4096
+#: Open bins; a block has four items for each of them.
+OPEN_BINS, ITEMS_A_BIN = 1024, 4
 #: Splits whose open bins are packed together.
 _TOGETHER = 64
 
@@ -69,7 +69,7 @@ def _pack(capacity: int, most_open: int, kind: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        fit = BestFit(capacity, most_open)
+        fit, block = BestFit(capacity, most_open), ITEMS_A_BIN * most_open
         held: list[tuple] = []
 
         def placed(rows: list[tuple]) -> pa.RecordBatch:
@@ -83,9 +83,9 @@ def _pack(capacity: int, most_open: int, kind: pa.DataType):
 
         for b in batches:
             held += zip(*(b.column(c).to_pylist() for c in ("key", "piece", "begin", "size")), strict=True)
-            while len(held) >= BLOCK:
-                yield placed(held[:BLOCK])
-                held = held[BLOCK:]
+            while len(held) >= block:
+                yield placed(held[:block])
+                held = held[block:]
         yield placed(held)
         left = fit.still_open()
         n = len(left)
