@@ -16,6 +16,11 @@ def bits_per_char(loss: Column) -> Column:
     return loss / F.lit(math.log(2.0))
 
 
+def step_line(step: Column, loss: Column, width: int = 5) -> Column:
+    """Step with leading zeros and loss with six decimals, as logs show them."""
+    return F.format_string(f"Step %0{width}d: %.6f", step, loss)
+
+
 def logged_once(df: DataFrame, keys: Sequence[str] = ("run", "step")) -> DataFrame:
     """One row for each key: rows that were logged twice repeat."""
     return df.groupBy(*keys).agg(*[F.max(m).alias(m) for m in METRICS])

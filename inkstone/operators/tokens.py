@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -100,6 +100,13 @@ def batch_starts(n: int, length: int, batch: int, batches: int, seed: int = 42,
     return [(k, b, rng.randint(0, n - length - 1)) for k in range(batches) for b in range(batch)]
 
 
+def first_start(n: int, length: int) -> int:
+    """The start of the first window; a text without a whole window and its successor is an error."""
+    if n <= length:
+        raise ValueError("the text is too short for the window length")
+    return 0
+
+
 def batch_plan(n_train: int, n_val: int, length: int, batch: int, first_step: int, last_step: int, eval_every: int = 200, eval_batches: int = 5, seed: int = 42) -> list[tuple[int, str, int, int, int]]:
     """(step, split, batch number, row, start) of a training run, in drawing order from one generator.
 
@@ -121,6 +128,11 @@ def plan_frame(spark, plan: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame(list(plan), "step int, split string, batch int, row int, start long")
 
 
+def long_ids(ids: Column) -> Column:
+    """Identifiers as 64-bit integers, as tensors take them."""
+    return ids.cast("array<bigint>")
+
+
 def batch_rows(windowed: DataFrame, by: Sequence[str], row: str = "row") -> DataFrame:
     """Rows of a batch stacked in order: by, x and y as arrays of texts (a batch has a fixed number of rows)."""
     pairs = F.array_sort(F.collect_list(F.struct(row, "x", "y")))

@@ -22,11 +22,12 @@ def record_stream(spark: SparkSession, folder: str, schema: str, files_at_once:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).json(folder)
 
 
-def _memo(spark: SparkSession, path: str) -> DataFrame:
+def _memo(spark: SparkSession, path: str, before: int) -> DataFrame:
+    """What the batches before the given one have computed; a batch that runs again doesn't read its own leavings."""
     try:
-        return spark.read.schema("kd string, n bigint").parquet(path)
+        return spark.read.schema("kd string, n bigint, batch int").parquet(path).where(F.col("batch") < before).select("kd", "n")
     except Exception as e:  # nothing has been written yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], "kd string, n bigint")
 
@@ -42,10 +43,10 @@ def enrich(records: DataFrame, compute: Compute, memo_path: str, out_path: str,
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         df = df.persist()
-        memo = _memo(spark, f"{memo_path}/batch=*")
+        memo = _memo(spark, memo_path, number)
         fresh = compute(memo_misses(df, memo)).select("kd", "n")
         fresh.write.mode("overwrite").parquet(f"{memo_path}/batch={number}")
-        known = _memo(spark, f"{memo_path}/batch=*").groupBy("kd").agg(F.max("n").alias("n"))
+        known = _memo(spark, memo_path, number + 1).groupBy("kd").agg(F.max("n").alias("n"))
         df.select(*keep, "kd").join(known, "kd", "left").write.mode("overwrite").parquet(f"{out_path}/batch={number}")
         df.unpersist()
 

@@ -100,6 +100,18 @@ def test_enrichment_resumes_and_uses_the_memo(spark, tmp_path, rows):
     assert run() == [("a", 5), ("a", 5), ("b", 5), ("b", 5), ("c", 5)] and asked.value == 3
 
 
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path, rows):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text('{"author":"a","rhythmic":"x"}\n')
+
+    def run(checkpoint):
+        stream = with_query_key(E.record_stream(spark, str(tmp_path / "in"), "author string, rhythmic string"))
+        E.finish([E.enrich(stream, lambda k: k.withColumn("n", F.length("kd").cast("long")), str(tmp_path / "memo"), str(tmp_path / "out"), str(tmp_path / checkpoint), ["author"])])
+        return rows(spark.read.parquet(str(tmp_path / "out")).select("author", "n"))
+
+    assert run("one") == run("two") == [("a", 5)]  # the second has lost its checkpoint and repeats batch 0
+
+
 def test_repair_keeps_the_largest(spark, tmp_path, rows):
     src = tmp_path / "in"
     src.mkdir()

@@ -45,6 +45,15 @@ def test_batch_plan_draws_in_order():
     assert V.batch_starts(10, 8, 1, 1)[0][2] in (0, 1)
 
 
+def test_small_parts(spark):
+    assert V.first_start(9, 8) == 0
+    with pytest.raises(ValueError):
+        V.first_start(8, 8)
+    df = spark.createDataFrame([([1, 2],)], "ids array<int>")
+    assert df.select(V.long_ids(F.col("ids")).alias("x")).dtypes == [("x", "array<bigint>")]
+    assert df.select(M.step_line(F.lit(7), F.lit(1.5))).first()[0] == "Step 00007: 1.500000"
+
+
 def test_batches_and_preview(spark):
     w = spark.createDataFrame([(1, 1, "b", "B"), (1, 0, "a", "A"), (2, 0, "c", "C")], "step int, row int, x string, y string")
     assert {r.step: (r.x, r.y) for r in V.batch_rows(w, ["step"]).collect()} == {1: (["a", "b"], ["A", "B"]), 2: (["c"], ["C"])}
