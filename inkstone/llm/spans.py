@@ -153,7 +153,8 @@ def shared_spans(df: DataFrame, least: int = 24) -> DataFrame:
     text = bodies(df, least)
     seeds = text.mapInArrow(_anchors(least), _SENT).repartition("key").mapInArrow(_met, "rec_id long, pos int")
     seeds = seeds.groupBy("rec_id").agg(F.collect_set("pos").alias("anchors"))
-    found = text.join(seeds, "rec_id").select("rec_id", "body", "anchors").mapInArrow(_stretches(least), _SENT)
+    # In order, so that a task that runs again forms the same blocks and sends the same rows.
+    found = text.join(seeds, "rec_id").select("rec_id", "body", "anchors").sortWithinPartitions("rec_id").mapInArrow(_stretches(least), _SENT)
     found = found.repartition("key").mapInArrow(_met, "rec_id long, pos int")
     return found.groupBy("rec_id").agg(F.collect_set("pos").alias("starts")).mapInArrow(_runs(least), "rec_id long, span_start long, span_chars long")
 
