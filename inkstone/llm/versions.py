@@ -23,10 +23,14 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from . import golay
-from .blocks import batch_of, code_points, mix, starts_of
+from .blocks import batch_of, code_points, group_starts, mix, starts_of
 from .lookalike import readable
 
 TABLES = 24
+#: Shards of the key space for each shuffle partition, so that a task's share of the keys doesn't grow with the data.
+SHARDS_A_TASK = 8
+#: Pairs that a task holds before it passes them on.
+_MOST_HELD = 1 << 22
 DRAWN = 3
 _WEIGHTS = (1.0, 0.9, 0.8)
 _NONE = np.iinfo(np.uint64).max
@@ -63,31 +67,78 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rec[has]), lists, pa.array(marks[0]), pa.array(marks[1])], names=["rec_id", "pairs", "class_a", "class_b"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """class, key: Golay keys of every part of the fingerprint."""
+def _keys(shards: int):
+    """Golay keys of every part of the fingerprint, as (shard, keys, classes): a row holds a block's entries of one shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            who = b.column("class").to_numpy()
+            lists = b.column("pairs")
+            codes = lists.flatten().to_numpy().view(np.uint64)
+            count = np.diff(lists.offsets.to_numpy())
+            first, row = starts_of(count), np.repeat(np.arange(len(who)), count)
+            if not len(codes):
+                continue
+            base, keys, classes = mix(codes), [], []
+            for t in range(TABLES):
+                h = mix(base + np.uint64(t + 1))
+                votes = np.zeros((len(who), 2 * golay.LENGTH), np.float32)
+                for k in range(DRAWN):
+                    drawn = np.minimum.reduceat(h, first)
+                    bits = (mix(drawn)[:, None] >> np.arange(2 * golay.LENGTH, dtype=np.uint64)) & np.uint64(1)
+                    votes += np.where((drawn != _NONE)[:, None], (bits.astype(np.float32) * 2 - 1) * np.float32(_WEIGHTS[k]), 0)
+                    h[h == drawn[row]] = _NONE
+                on = (votes > 0).astype(np.uint32)
+                a, z = ((on[:, s] * _BITS).sum(1, dtype=np.uint32) for s in (slice(None, golay.LENGTH), slice(golay.LENGTH, None)))
+                near, far = golay.nearby(a).astype(np.int64), golay.nearest(z).astype(np.int64)
+                at = near >= 0
+                keys.append(((np.int64(t) << 24) | (near << 12) | far[:, None])[at])
+                classes.append(np.repeat(who, at.sum(1)))
+            key, cls = np.concatenate(keys), np.concatenate(classes)
+            shard = (mix(key.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+            order = np.lexsort((key, shard))
+            shard, key, cls = shard[order], key[order].astype(np.int32), cls[order]  # 24 parts and 24 bits fit in 31 bits
+            begin = group_starts(shard)
+            end = np.append(begin[1:], len(shard))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard[begin]), pa.array([key[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary()), pa.array([cls[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary())],
+                names=["shard", "keys", "classes"],
+            )
+
+    return run
+
+
+def _distinct_pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    first = group_starts(x, y)
+    return batch_of({"x": (x[first], pa.int64()), "y": (y[first], pa.int64())})
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """x < y: classes that agree in a key of the partition's shards."""
+    keys, classes = [], []
     for b in batches:
-        who = b.column("class").to_numpy()
-        lists = b.column("pairs")
-        codes = lists.flatten().to_numpy().view(np.uint64)
-        count = np.diff(lists.offsets.to_numpy())
-        first, row = starts_of(count), np.repeat(np.arange(len(who)), count)
-        if not len(codes):
-            continue
-        base = mix(codes)
-        for t in range(TABLES):
-            h = mix(base + np.uint64(t + 1))
-            votes = np.zeros((len(who), 2 * golay.LENGTH), np.float32)
-            for k in range(DRAWN):
-                drawn = np.minimum.reduceat(h, first)
-                bits = (mix(drawn)[:, None] >> np.arange(2 * golay.LENGTH, dtype=np.uint64)) & np.uint64(1)
-                votes += np.where((drawn != _NONE)[:, None], (bits.astype(np.float32) * 2 - 1) * np.float32(_WEIGHTS[k]), 0)
-                h[h == drawn[row]] = _NONE
-            on = (votes > 0).astype(np.uint32)
-            a, z = ((on[:, s] * _BITS).sum(1, dtype=np.uint32) for s in (slice(None, golay.LENGTH), slice(golay.LENGTH, None)))
-            near, far = golay.nearby(a).astype(np.int64), golay.nearest(z).astype(np.int64)
-            key = (np.int64(t) << 24) | (near << 12) | far[:, None]
-            at = near >= 0
-            yield batch_of({"key": (key[at], pa.int64()), "class": (np.repeat(who, at.sum(1)), pa.int64())})
+        keys += [np.frombuffer(k, np.int32) for k in b.column("keys").to_pylist()]
+        classes += [np.frombuffer(c, np.int64) for c in b.column("classes").to_pylist()]
+    if not keys:
+        return
+    key, cls = np.concatenate(keys), np.concatenate(classes)
+    order = np.lexsort((cls, key))
+    key, cls = key[order], cls[order]
+    at, apart, held, n = np.arange(len(key)), 1, [], 0
+    while len(at):  # neighbours in a group, then those two apart, and so on
+        at = at[at + apart < len(key)]
+        at = at[key[at] == key[at + apart]]
+        x, y = cls[at], cls[at + apart]
+        held.append((x[x < y], y[x < y]))
+        n += len(at)
+        if n > _MOST_HELD:
+            yield _distinct_pairs(*map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+        apart += 1
+    if n:
+        yield _distinct_pairs(*map(np.concatenate, zip(*held, strict=True)))
 
 
 def _similarity(a, b):
@@ -107,9 +158,9 @@ def similar_classes(sets: DataFrame, least: float = 0.5) -> tuple[DataFrame, Dat
     first = sets.groupBy("class_a", "class_b").agg(F.min("rec_id").alias("class"), F.first("pairs").alias("pairs"))
     members = sets.select("rec_id", "class_a", "class_b").join(first.select("class_a", "class_b", "class"), ["class_a", "class_b"]).select("rec_id", "class")
     classes = first.select("class", "pairs")
-    keys = classes.mapInArrow(_keys, "key long, class long").repartition("key")
-    other = keys.select("key", F.col("class").alias("y"))
-    met = keys.select("key", F.col("class").alias("x")).join(other, "key").where("x < y").select("x", "y").distinct()
+    shards = SHARDS_A_TASK * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = classes.mapInArrow(_keys(shards), "shard int, keys binary, classes binary").repartition("shard")
+    met = keys.mapInArrow(_candidates, "x long, y long").distinct()
     one = classes.select(F.col("class").alias("x"), F.col("pairs").alias("pairs_x"))
     two = classes.select(F.col("class").alias("y"), F.col("pairs").alias("pairs_y"))
     links = met.join(one, "x").join(two, "y").where(_similarity(F.col("pairs_x"), F.col("pairs_y")) >= least)
