@@ -1,11 +1,11 @@
 """Near-duplicate records with small edits, by Golay-code fuzzy hashing.
 
-A record's fingerprint has TABLES parts. Part t votes over the three pairs of neighbouring
-characters that come first in the t-th random order: a part that two similar records draw alike
-is equal, one drawn nearly alike differs in few bits. A part has two segments of 23 bits. A
-segment is decoded to the numbers of its nearby codewords in the (23, 12) Golay code, up to six of
-them, which segments with up to two errors are sure to share; the keys of a part are the nearby
-codewords of its first segment with the nearest one of its second. Errors fall unevenly on the
+A record's fingerprint has TABLES parts. Part t is the majority, bit by bit, of the three pairs of
+neighbouring characters that come first in the t-th random order: a part that two similar records
+draw alike is equal, one drawn nearly alike differs in few bits. A part has three segments of 23
+bits. A segment is decoded to the numbers of its nearby codewords in the (23, 12) Golay code, up to
+six of them, which segments with up to two errors are sure to share; the keys of a part are the
+nearby codewords of its first segment with the nearest ones of the others. Errors fall unevenly on the
 parts, so by the pigeonhole principle similar records have a part with few. Records that agree in
 a key are candidates, and every candidate pair is verified exactly on the full sets.
 
@@ -31,10 +31,8 @@ TABLES = 24
 SHARDS_A_TASK = 8
 #: Pairs that a task holds before it passes them on.
 _MOST_HELD = 1 << 22
-DRAWN = 3
-_WEIGHTS = (1.0, 0.9, 0.8)
 _NONE = np.iinfo(np.uint64).max
-_BITS = np.uint32(1) << np.arange(golay.LENGTH, dtype=np.uint32)
+_SEGMENT = np.uint64((1 << golay.LENGTH) - 1)
 
 
 def bare(title: str | None, paragraphs: list[str | None]) -> str:
@@ -82,22 +80,26 @@ def _keys(shards: int):
             base, keys, classes = mix(codes), [], []
             for t in range(TABLES):
                 h = mix(base + np.uint64(t + 1))
-                votes = np.zeros((len(who), 2 * golay.LENGTH), np.float32)
-                for k in range(DRAWN):
-                    drawn = np.minimum.reduceat(h, first)
-                    bits = (mix(drawn)[:, None] >> np.arange(2 * golay.LENGTH, dtype=np.uint64)) & np.uint64(1)
-                    votes += np.where((drawn != _NONE)[:, None], (bits.astype(np.float32) * 2 - 1) * np.float32(_WEIGHTS[k]), 0)
-                    h[h == drawn[row]] = _NONE
-                on = (votes > 0).astype(np.uint32)
-                a, z = ((on[:, s] * _BITS).sum(1, dtype=np.uint32) for s in (slice(None, golay.LENGTH), slice(golay.LENGTH, None)))
-                near, far = golay.nearby(a).astype(np.int64), golay.nearest(z).astype(np.int64)
+                drawn = []
+                for _ in range(3):
+                    drawn.append(np.minimum.reduceat(h, first))
+                    h[h == drawn[-1][row]] = _NONE
+                segments = []
+                for n in (0, 1):  # a word holds two segments, of which the second word's second isn't needed
+                    a, b_, c = (mix(d ^ np.uint64(n)) for d in drawn)
+                    vote = np.where(drawn[2] == _NONE, a, a & b_ | a & c | b_ & c)  # the first decides where there is no third
+                    segments += [(vote >> np.uint64(k) & _SEGMENT).astype(np.uint32) for k in (0, golay.LENGTH)]
+                near = golay.nearby(segments[0]).astype(np.int64)
+                far = golay.nearest(segments[1]).astype(np.int64) << 12 | golay.nearest(segments[2]).astype(np.int64)
                 at = near >= 0
-                keys.append(((np.int64(t) << 24) | (near << 12) | far[:, None])[at])
+                keys.append(((np.int64(t) << 36) | (near << 24) | far[:, None])[at])
                 classes.append(np.repeat(who, at.sum(1)))
             key, cls = np.concatenate(keys), np.concatenate(classes)
-            shard = (mix(key.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+            mixed = mix(key.view(np.uint64))
+            shard = ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
+            key = mixed.astype(np.uint32)  # half of the key's bits besides the shard: a chance meeting fails the exact check
             order = np.lexsort((key, shard))
-            shard, key, cls = shard[order], key[order].astype(np.int32), cls[order]  # 24 parts and 24 bits fit in 31 bits
+            shard, key, cls = shard[order], key[order], cls[order]
             begin = group_starts(shard)
             end = np.append(begin[1:], len(shard))
             yield pa.RecordBatch.from_arrays(
@@ -119,7 +121,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """x < y: classes that agree in a key of the partition's shards."""
     keys, classes = [], []
     for b in batches:
-        keys += [np.frombuffer(k, np.int32) for k in b.column("keys").to_pylist()]
+        keys += [np.frombuffer(k, np.uint32) for k in b.column("keys").to_pylist()]
         classes += [np.frombuffer(c, np.int64) for c in b.column("classes").to_pylist()]
     if not keys:
         return
