@@ -288,7 +288,7 @@ _RUNS = "label_lang string, run int, runs int, first_lang string, first_line lon
 def _label(net: Network, codes: list[str], key_type: pa.DataType):
     names = np.array(codes, object)
 
-    def block(keys: pa.Array, known: pa.Array, texts: list[str]) -> pa.RecordBatch:
+    def block(keys: pa.Array, known: pa.Array, texts: list[str]) -> Iterator[pa.RecordBatch]:
         data, letter, begin, length, whose, many = lines_of(texts)
         line_no = np.arange(len(whose)) - np.searchsorted(whose, whose, side="left")
         own = np.flatnonzero(many > 0)
@@ -318,18 +318,23 @@ def _label(net: Network, codes: list[str], key_type: pa.DataType):
             pa.array(names[share.argmax(1)][d] if len(d) else [], pa.string()),
             pa.array(share.max(1)[d] if len(d) else [], pa.float64()),
         ]
-        return pa.RecordBatch.from_arrays(arrays, names=["key"] + [c.split()[0] for c in _RUNS.split(", ")])
+        columns = ["key"] + [c.split()[0] for c in _RUNS.split(", ")]
+        yield pa.RecordBatch.from_arrays(arrays, names=columns)
+        bare = pa.array(np.flatnonzero(np.bincount(doc, minlength=len(texts)) == 0))  # texts without letters
+        n = len(bare)
+        fixed = {"key": keys.take(bare), "label_lang": known.take(bare), "run": pa.array([-1] * n, pa.int32()), "runs": pa.array([0] * n, pa.int32())}
+        yield pa.RecordBatch.from_arrays([fixed.get(c, pa.nulls(n, a.type)) for c, a in zip(columns, arrays, strict=True)], names=columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
+            texts = [t or "" for t in b.column("text").to_pylist()]
             start = 0
             while start < len(texts):
                 stop, size = start, 0
                 while stop < len(texts) and (stop == start or size + len(texts[stop]) < _TEXT_BLOCK):
                     size += len(texts[stop])
                     stop += 1
-                yield block(b.column("key").slice(start, stop - start), b.column("label_lang").slice(start, stop - start), texts[start:stop])
+                yield from block(b.column("key").slice(start, stop - start), b.column("label_lang").slice(start, stop - start), texts[start:stop])
                 start = stop
 
     return run
@@ -343,13 +348,18 @@ def language_runs(df: DataFrame, names: DataFrame, key: str = "doc_id", text: st
     runs. Confidence is the mean probability over the run's (or document's) letters. Without a
     single labelled text nothing can be learned and the result is empty.
     """
+    return _labelled(df, names, key, text, lang, sample_docs, sample_lines).where("run >= 0")
+
+
+def _labelled(df: DataFrame, names: DataFrame, key: str, text: str, lang: str, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> DataFrame:
+    """The runs, and a row with run -1 for each document without letters."""
     rows = with_label_language(df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")), names)
     kind = df.schema[key].dataType.simpleString()
     schema = f"key {kind}, {_RUNS}"
     fitted = train(rows, "key", "text", sample_docs, sample_lines)
     if fitted is None:
         return df.sparkSession.createDataFrame([], schema).withColumnRenamed("key", key)
-    return rows.where("text is not null and text <> ''").select("key", "label_lang", "text").mapInArrow(_label(*fitted, None), schema).withColumnRenamed("key", key)
+    return rows.select("key", "label_lang", "text").mapInArrow(_label(*fitted, None), schema).withColumnRenamed("key", key)
 
 
 def mislabelled_runs(df: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -359,5 +369,5 @@ def mislabelled_runs(df: DataFrame, names: DataFrame, key: str = "doc_id", text:
 
 
 def document_languages(df: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """key, label_lang, doc_lang, doc_confidence, runs of every document with letters."""
-    return language_runs(df, names, key, text, lang).where("run = 0").select(key, "label_lang", "doc_lang", "doc_confidence", "runs")
+    """key, label_lang, doc_lang, doc_confidence, runs of every document; without letters the language is null and runs is 0."""
+    return _labelled(df, names, key, text, lang).where("run <= 0").select(key, "label_lang", "doc_lang", "doc_confidence", "runs")

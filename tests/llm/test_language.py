@@ -130,8 +130,9 @@ def test_runs_and_labels(tables):
     assert len(got) == len(set(got))
     assert len(set(got) & expected) >= 0.95 * max(len(got), len(expected))
     docs = {r.doc_id: r for r in L.document_languages(df, names).collect()}
-    assert set(docs) == set(truth) and docs[1003].doc_lang == "en" and 0 < docs[1003].doc_confidence <= 1
+    assert set(docs) == set(truth) | {1000, 1001, 1002} and docs[1003].doc_lang == "en" and 0 < docs[1003].doc_confidence <= 1
     assert docs[1004].label_lang == "en"
+    assert {tuple(docs[i])[1:] for i in (1000, 1001)} == {("en", None, None, 0)} and docs[1002].doc_lang is None
 
 
 def test_nothing_to_learn_from(spark):
