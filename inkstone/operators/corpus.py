@@ -39,18 +39,18 @@ def subset_by_bytes(df: DataFrame, targets: Sequence[tuple[str, int]], key: str
     sized = offsets(df.where(F.col(text).isNotNull()), key, T.utf8_size(F.col(text)), separator)
     end = F.col("start") + F.col("size")
     before = F.greatest(F.col("start") - separator, F.lit(0))
-    wanted = df.sparkSession.createDataFrame(list(targets), "subset string, target long")
-    t = F.col("target")
+    wanted = F.array(*[F.struct(F.lit(n).alias("subset"), F.lit(b).cast("long").alias("target")) for n, b in targets])
+    t = F.col("w.target")
     keep = (end <= t) | ((before <= t) & (F.abs(t - end) < F.abs(t - before)))
-    return sized.crossJoin(F.broadcast(wanted)).where(keep).select("subset", key)  # a handful of targets
+    return sized.withColumn("w", F.explode(wanted)).where(keep).select("w.subset", key)
 
 
 def corpus_blocks(df: DataFrame, length: int, key: str = "doc_id", text: str = "text", separator: str = "\n\n") -> DataFrame:
     """block, text: the corpus (documents in key order, joined by the separator) cut into pieces of the given length; the last is shorter."""
     has = df.where(F.col(text).isNotNull()).select(key, F.col(text).alias("t"))
-    last = has.agg(F.max(key).alias("last_key"))
-    placed = offsets(has, key, F.length("t"), len(separator)).join(has, key).crossJoin(F.broadcast(last))  # one row
-    body = placed.select("start", F.concat("t", F.when(F.col(key) == F.col("last_key"), "").otherwise(separator)).alias("t"))
+    last = has.agg(F.max(key)).first()[0]
+    placed = offsets(has, key, F.length("t"), len(separator)).join(has, key)
+    body = placed.select("start", F.concat("t", F.when(F.col(key) == F.lit(last), "").otherwise(separator)).alias("t"))
     n = F.length("t")
     body = body.where(n > 0)
     parts = body.select("start", "t", F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((F.col("start") + n - 1) / length))).alias("block"))

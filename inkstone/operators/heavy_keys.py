@@ -95,5 +95,5 @@ def key_totals(df: DataFrame, fields: Sequence[str], measures: Sequence[str] = (
 def heavy_keys(df: DataFrame, fields: Sequence[str], row_key: str = "rec_id", percent: int = 2, dense_most: int = DENSE_MOST) -> DataFrame:
     """key_field, key_value of the values that hold at least `percent` % of all records (null values count in the total)."""
     totals = key_totals(df, fields, (), row_key, dense_most)
-    whole = df.agg(F.count_distinct(row_key).alias("whole"))  # one row
-    return totals.crossJoin(F.broadcast(whole)).where(F.col("records") * 100 >= F.col("whole") * percent).select("key_field", "key_value")
+    whole = df.agg(F.count_distinct(row_key)).first()[0]
+    return totals.where(F.col("records") * 100 >= F.lit(whole * percent)).select("key_field", "key_value")
