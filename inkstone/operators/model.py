@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Prompts that run together.
+_ROWS = 512
+
+
 @dataclass(frozen=True)
 class Shape:
     vocab: int
@@ -57,14 +61,15 @@ def _attention(x: np.ndarray, qkv: np.ndarray, shape: Shape) -> np.ndarray:
     return ((e / e.sum(-1, keepdims=True)) @ v).transpose(0, 2, 1, 3).reshape(b, t, c)
 
 
-def logits(weights: dict[str, np.ndarray], shape: Shape, ids: np.ndarray) -> np.ndarray:
-    """Logits (rows, places, vocabulary) of rows of identifiers no longer than the context."""
+def logits(weights: dict[str, np.ndarray], shape: Shape, ids: np.ndarray, last: bool = False) -> np.ndarray:
+    """Logits (rows, places, vocabulary) of rows of identifiers no longer than the context; with last, of the last place only."""
     x = weights["token"][ids] + weights["place"][: ids.shape[1]]
     for i in range(shape.layers):
         a = _attention(_normal(x, weights[f"{i}.norm1"]), weights[f"{i}.qkv"], shape)
         x = x + (a if shape.prototype else a @ weights[f"{i}.out"] + weights[f"{i}.out_bias"])
         h = np.maximum(_normal(x, weights[f"{i}.norm2"]) @ weights[f"{i}.up"] + weights[f"{i}.up_bias"], 0)
         x = x + h @ weights[f"{i}.down"] + weights[f"{i}.down_bias"]
+    x = x[:, -1:] if last else x
     return _normal(x, weights["norm"]) @ weights["head"] + weights["head_bias"]
 
 
@@ -83,11 +88,12 @@ def _next(z: np.ndarray, temperature: float | None, k: int | None, uniform: np.n
     if k and k > 0:
         if k > z.shape[-1]:
             raise ValueError("k is greater than the vocabulary")
-        order = np.argsort(-z, axis=-1, kind="stable")
-        np.put_along_axis(z, order[:, k:], -np.inf, -1)
+        least = -np.partition(-z, k - 1, axis=-1)[:, k - 1 : k]
+        tied = z == least  # of equal logits the lesser identifiers stay
+        z = np.where((z > least) | tied & (np.cumsum(tied, -1) <= k - (z > least).sum(-1, keepdims=True)), z, -np.inf)
     p = np.exp(z - z.max(-1, keepdims=True))
     c = np.cumsum(p / p.sum(-1, keepdims=True), -1)
-    return np.minimum((c <= uniform[:, None]).sum(-1), np.array([np.flatnonzero(r)[-1] for r in p]))
+    return np.minimum((c <= uniform[:, None]).sum(-1), p.shape[-1] - 1 - np.argmax(p[:, ::-1] > 0, -1))
 
 
 def generate(prompts: DataFrame, weights: dict[str, np.ndarray], shape: Shape, new: int = 200, temperature: float | None = None, k: int | None = None, key: str = "prompt_id", ids: str = "ids", seed: int = 42) -> DataFrame:
@@ -100,16 +106,21 @@ def generate(prompts: DataFrame, weights: dict[str, np.ndarray], shape: Shape, n
         for b in batches:
             rows, keys = b.column("ids").to_pylist(), b.column("h").to_pylist()
             out: list[list[int]] = [[] for _ in rows]
-            for n in sorted({len(r) for r in rows if r}):  # prompts of one length run together
-                own = [i for i, r in enumerate(rows) if r and len(r) == n]
+            by_length: dict[int, list[int]] = {}
+            for i, r in enumerate(rows):
+                if r:
+                    by_length.setdefault(len(r), []).append(i)
+            groups = [g[k : k + _ROWS] for g in by_length.values() for k in range(0, len(g), _ROWS)]
+            for own in groups:  # prompts of one length run together
                 have = np.array([rows[i] for i in own], np.int64)
                 rngs = [np.random.default_rng([seed, keys[i] & 0xFFFFFFFF]) for i in own]
                 for _ in range(new):
-                    z = logits(weights, shape, have[:, -shape.context :])[:, -1]
+                    z = logits(weights, shape, have[:, -shape.context :], last=True)[:, 0]
                     have = np.concatenate([have, _next(z, temperature, k, np.array([g.random() for g in rngs]))[:, None]], 1)
                 for i, r in zip(own, have.tolist(), strict=True):
                     out[i] = r
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.list_(pa.int32()))], names=[key, "ids"])
 
     kind = prompts.schema[key].dataType.simpleString()
-    return prompts.select(F.col(key).alias("key"), F.col(ids).alias("ids"), F.xxhash64(key).alias("h")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    spread = prompts.sparkSession.sparkContext.defaultParallelism  # prompts are few and each is much work
+    return prompts.select(F.col(key).alias("key"), F.col(ids).alias("ids"), F.xxhash64(key).alias("h")).repartition(spread, "key").mapInArrow(run, f"`{key}` {kind}, ids array<int>")

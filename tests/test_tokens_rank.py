@@ -176,6 +176,8 @@ def test_model_is_causal_and_generates(spark):
     assert got == {1: have, 2: [], 3: [], 4: got[4]} and len(got[4]) == 13
     drawn = dict(N.generate(df, w, shape, new=4, temperature=1.0, k=3).collect())
     assert drawn == dict(N.generate(df.repartition(3), w, shape, new=4, temperature=1.0, k=3).collect())
+    z = np.array([[1.0, 3.0, 3.0, 3.0, 0.0]])
+    assert {int(N._next(z, 1.0, 2, np.array([u]))[0]) for u in np.linspace(0, 0.999, 50)} == {1, 2}
     with pytest.raises(ValueError):
         N.Shape(vocab=2, context=2, width=10, heads=3)
     old = N.Shape(vocab=11, context=6, width=8, prototype=True)
