@@ -92,4 +92,4 @@ def by_ids(spark: SparkSession, catalog: Catalog, ids: Sequence[int]) -> DataFra
 
 def without(df: DataFrame, column: str, excludes: Sequence[str]) -> DataFrame:
     """Rows whose column is none of the excluded values; rows with a null stay."""
-    return df.where(F.coalesce(~F.col(column).isin(*excludes), F.lit(True))) if excludes else df
+    return df.where(F.col(column).isNull() | ~F.col(column).isin(*excludes)) if excludes else df
