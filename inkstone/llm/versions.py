@@ -1,13 +1,11 @@
-"""Near-duplicate records with small edits, by Golay-code fuzzy hashing.
+"""Near-duplicate records with small edits, by an exact join of their sets of neighbouring characters.
 
-A record's fingerprint has TABLES parts. Part t is the majority, bit by bit, of the three pairs of
-neighbouring characters that come first in the t-th random order: a part that two similar records
-draw alike is equal, one drawn nearly alike differs in few bits. A part has three segments of 23
-bits. A segment is decoded to the numbers of its nearby codewords in the (23, 12) Golay code, up to
-six of them, which segments with up to two errors are sure to share; the keys of a part are the
-nearby codewords of its first segment with the nearest ones of the others. Errors fall unevenly on the
-parts, so by the pigeonhole principle similar records have a part with few. Records that agree in
-a key are candidates, and every candidate pair is verified exactly on the full sets.
+All pairs of neighbouring characters have one order, roughly the rarest first. A set that shares at
+least the fraction `least` with another has their first common pair among its own first
+n - ceil(least * n) + 1 of n (prefix filter), so records that are similar always meet there. A
+meeting is dropped only where it can't reach the similarity: when too few pairs are left behind the
+common one, or when the sets' bitmaps differ in too many places. What is left is verified on the
+full sets.
 
 Records with equal sets form one class beforehand, so copies meet once however many there are.
 """
@@ -22,17 +20,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from . import golay
 from .blocks import batch_of, code_points, group_starts, mix, starts_of
 from .lookalike import readable
 
-TABLES = 24
+#: Pairs are counted in so many buckets, passed on in blocks; the counts only order the pairs, so sharing a bucket costs no result.
+BUCKETS, COUNT_BLOCKS = 1 << 20, 16
 #: Shards of the key space for each shuffle partition, so that a task's share of the keys doesn't grow with the data.
 SHARDS_A_TASK = 8
 #: Pairs that a task holds before it passes them on.
 _MOST_HELD = 1 << 22
-_NONE = np.iinfo(np.uint64).max
-_SEGMENT = np.uint64((1 << golay.LENGTH) - 1)
+#: Words of 64 bits of a set's bitmap.
+_WORDS = 4
+#: A set under one of its first pairs: half of the pair's hash, size, pairs from this one to the last, class, bitmap.
+_ENTRY = np.dtype([("key", "u4"), ("size", "i4"), ("left", "i4"), ("class", "i8"), ("map", "u8", _WORDS)])
+#: Slack of the bounds, so that rounding drops nothing.
+_SLACK = 1e-6
 
 
 def bare(title: str | None, paragraphs: list[str | None]) -> str:
@@ -65,47 +67,63 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rec[has]), lists, pa.array(marks[0]), pa.array(marks[1])], names=["rec_id", "pairs", "class_a", "class_b"])
 
 
-def _keys(shards: int):
-    """Golay keys of every part of the fingerprint, as (shard, keys, classes): a row holds a block's entries of one shard."""
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(44)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, counts: how often the partition's sets hold pairs of each bucket."""
+    total = np.zeros(BUCKETS, np.int64)
+    for b in batches:
+        total += np.bincount(_bucket(mix(b.column("pairs").flatten().to_numpy().view(np.uint64))), minlength=BUCKETS)
+    yield pa.RecordBatch.from_arrays([pa.array(range(COUNT_BLOCKS), pa.int32()), pa.array([x.tobytes() for x in np.split(total, COUNT_BLOCKS)], pa.binary())], names=["block", "counts"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for block, counts in zip(b.column("block").to_pylist(), b.column("counts").to_pylist(), strict=True):
+            total[block] = total.get(block, 0) + np.frombuffer(counts, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """Occurrences of the pairs of each bucket; its size is fixed, so it may pass through the driver."""
+    kind = "block int, counts binary"
+    total = np.zeros((COUNT_BLOCKS, BUCKETS // COUNT_BLOCKS), np.int64)
+    for block, counts in sets.select("pairs").mapInArrow(_counted, kind).repartition("block").mapInArrow(_added, kind).collect():
+        total[block] = np.frombuffer(counts, np.int64)
+    return np.minimum(total.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
+
+
+def _keys(shards: int, frequency: np.ndarray, least: float):
+    """The first pairs of every set, as (shard, entries): a row holds a block's entries of one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             who = b.column("class").to_numpy()
             lists = b.column("pairs")
-            codes = lists.flatten().to_numpy().view(np.uint64)
-            count = np.diff(lists.offsets.to_numpy())
-            first, row = starts_of(count), np.repeat(np.arange(len(who)), count)
-            if not len(codes):
+            h = mix(lists.flatten().to_numpy().view(np.uint64))
+            count = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            if not len(h):
                 continue
-            base, keys, classes = mix(codes), [], []
-            for t in range(TABLES):
-                h = mix(base + np.uint64(t + 1))
-                drawn = []
-                for _ in range(3):
-                    drawn.append(np.minimum.reduceat(h, first))
-                    h[h == drawn[-1][row]] = _NONE
-                segments = []
-                for n in (0, 1):  # a word holds two segments, of which the second word's second isn't needed
-                    a, b_, c = (mix(d ^ np.uint64(n)) for d in drawn)
-                    vote = np.where(drawn[2] == _NONE, a, a & b_ | a & c | b_ & c)  # the first decides where there is no third
-                    segments += [(vote >> np.uint64(k) & _SEGMENT).astype(np.uint32) for k in (0, golay.LENGTH)]
-                near = golay.nearby(segments[0]).astype(np.int64)
-                far = golay.nearest(segments[1]).astype(np.int64) << 12 | golay.nearest(segments[2]).astype(np.int64)
-                at = near >= 0
-                keys.append(((np.int64(t) << 36) | (near << 24) | far[:, None])[at])
-                classes.append(np.repeat(who, at.sum(1)))
-            key, cls = np.concatenate(keys), np.concatenate(classes)
-            mixed = mix(key.view(np.uint64))
-            shard = ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
-            key = mixed.astype(np.uint32)  # half of the key's bits besides the shard: a chance meeting fails the exact check
-            order = np.lexsort((key, shard))
-            shard, key, cls = shard[order], key[order], cls[order]
+            first, row = starts_of(count), np.repeat(np.arange(len(who)), count)
+            bit = np.uint64(1) << (h & np.uint64(63))
+            word = h >> np.uint64(6) & np.uint64(_WORDS - 1)
+            maps = np.stack([np.bitwise_or.reduceat(np.where(word == w, bit, np.uint64(0)), first) for w in range(_WORDS)], 1)
+            h = h[np.lexsort((h, frequency[_bucket(h)], row))]
+            left = (first + count)[row] - np.arange(len(h))
+            kept = left >= np.ceil(least * count - _SLACK)[row]
+            h, row, left = h[kept], row[kept], left[kept]
+            entries = np.empty(len(h), _ENTRY)
+            entries["key"] = h >> np.uint64(32)  # a chance meeting of equal halves fails the exact check
+            entries["size"], entries["left"], entries["class"], entries["map"] = count[row], left, who[row], maps[row]
+            shard = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int32)
+            order = np.argsort(shard, kind="stable")
+            shard, entries = shard[order], entries[order]
             begin = group_starts(shard)
             end = np.append(begin[1:], len(shard))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[begin]), pa.array([key[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary()), pa.array([cls[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary())],
-                names=["shard", "keys", "classes"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(shard[begin]), pa.array([entries[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary())], names=["shard", "entries"])
 
     return run
 
@@ -117,30 +135,38 @@ def _distinct_pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return batch_of({"x": (x[first], pa.int64()), "y": (y[first], pa.int64())})
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """x < y: classes that agree in a key of the partition's shards."""
-    keys, classes = [], []
-    for b in batches:
-        keys += [np.frombuffer(k, np.uint32) for k in b.column("keys").to_pylist()]
-        classes += [np.frombuffer(c, np.int64) for c in b.column("classes").to_pylist()]
-    if not keys:
-        return
-    key, cls = np.concatenate(keys), np.concatenate(classes)
-    order = np.lexsort((cls, key))
-    key, cls = key[order], cls[order]
-    at, apart, held, n = np.arange(len(key)), 1, [], 0
-    while len(at):  # neighbours in a group, then those two apart, and so on
-        at = at[at + apart < len(key)]
-        at = at[key[at] == key[at + apart]]
-        x, y = cls[at], cls[at + apart]
-        held.append((x[x < y], y[x < y]))
-        n += len(at)
-        if n > _MOST_HELD:
+def _candidates(least: float):
+    """x < y: classes that meet in a pair of the partition's shards and may be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(e, _ENTRY) for b in batches for e in b.column("entries").to_pylist()]
+        if not parts:
+            return
+        e = np.concatenate(parts)
+        e = e[np.lexsort((e["class"], e["key"]))]
+        key, cls, size, left, maps = (np.ascontiguousarray(e[n]) for n in ("key", "class", "size", "left", "map"))
+        at, apart, held, n = np.arange(len(key)), 1, [], 0
+        while len(at):  # neighbours in a group, then those two apart, and so on
+            at = at[at + apart < len(key)]
+            at = at[key[at] == key[at + apart]]
+            x, y = at, at + apart
+            both = size[x].astype(np.int64) + size[y]
+            # At the first common pair of two sets no more than these are common.
+            fits = np.minimum(left[x], left[y]) * (1 + least) >= least * both - _SLACK
+            x, y, both = x[fits], y[fits], both[fits]
+            # Each place in which the bitmaps differ is due to another pair that only one set has.
+            fits = np.bitwise_count(maps[x] ^ maps[y]).sum(1, dtype=np.int64) * (1 + least) <= (1 - least) * both + _SLACK
+            x, y = cls[x[fits]], cls[y[fits]]
+            held.append((x[x < y], y[x < y]))
+            n += len(x)
+            if n > _MOST_HELD:
+                yield _distinct_pairs(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+            apart += 1
+        if n:
             yield _distinct_pairs(*map(np.concatenate, zip(*held, strict=True)))
-            held, n = [], 0
-        apart += 1
-    if n:
-        yield _distinct_pairs(*map(np.concatenate, zip(*held, strict=True)))
+
+    return run
 
 
 def _similarity(a, b):
@@ -161,8 +187,8 @@ def similar_classes(sets: DataFrame, least: float = 0.5) -> tuple[DataFrame, Dat
     members = sets.select("rec_id", "class_a", "class_b").join(first.select("class_a", "class_b", "class"), ["class_a", "class_b"]).select("rec_id", "class")
     classes = first.select("class", "pairs")
     shards = SHARDS_A_TASK * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = classes.mapInArrow(_keys(shards), "shard int, keys binary, classes binary").repartition("shard")
-    met = keys.mapInArrow(_candidates, "x long, y long").distinct()
+    keys = classes.mapInArrow(_keys(shards, _frequencies(sets), least), "shard int, entries binary").repartition("shard")
+    met = keys.mapInArrow(_candidates(least), "x long, y long").distinct()
     one = classes.select(F.col("class").alias("x"), F.col("pairs").alias("pairs_x"))
     two = classes.select(F.col("class").alias("y"), F.col("pairs").alias("pairs_y"))
     links = met.join(one, "x").join(two, "y").where(_similarity(F.col("pairs_x"), F.col("pairs_y")) >= least)

@@ -129,3 +129,24 @@ def test_many_copies_form_one_class(spark):
     df = spark.createDataFrame([(i, "t", p, "x", 1) for i in range(2000)] + [(5000, "t", ["白日依山盡黃河入海留"], "x", 1)], SCHEMA)
     g = versions.version_groups(df).groupBy("class_id", "group_id", "links").count().collect()
     assert sorted(map(tuple, g)) == [(0, 0, 1, 2000), (5000, 0, 1, 1)]
+
+
+def near(seed, lowest, unions=(20, 40, 60, 80), each=40):
+    """Records in twos: a common text and an end of its own each, so that the similarity is from `lowest` to lowest + 0.05."""
+    rng = random.Random(seed)
+    records = []
+    for union, k in itertools.product(unions, range(each)):
+        common = -(-int(lowest * 1000) * union // 1000) + k % (union // 20 + 1)
+        text = "".join(map(chr, rng.sample(range(0x4E00, 0x9F00), union + 1)))
+        for end in (text[common + 1 : common + 1 + k % (union - common)], text[common + 1 + k % (union - common) :]):
+            records.append((len(records), None, [text[: common + 1], end]))
+    return records
+
+
+@pytest.mark.parametrize("least", [0.3, 0.8])
+def test_versions_at_other_thresholds_are_whole(spark, least):
+    records = near(1, least, each=20)
+    expected = brute(records, least)
+    assert len(expected) >= len(records) / 2
+    got = [tuple(r) for r in versions.version_pairs(spark.createDataFrame([(*r, "x", 1) for r in records], SCHEMA), least).collect()]
+    assert sorted(got) == sorted(expected)
