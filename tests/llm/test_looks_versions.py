@@ -150,3 +150,11 @@ def test_versions_at_other_thresholds_are_whole(spark, least):
     assert len(expected) >= len(records) / 2
     got = [tuple(r) for r in versions.version_pairs(spark.createDataFrame([(*r, "x", 1) for r in records], SCHEMA), least).collect()]
     assert sorted(got) == sorted(expected)
+
+
+def test_versions_near_the_threshold_are_whole(spark):
+    records = near(2, 0.5)
+    expected = brute(records)
+    assert len(expected) >= len(records) / 2
+    got = [tuple(r) for r in versions.version_pairs(spark.createDataFrame([(*r, "x", 1) for r in records], SCHEMA)).collect()]
+    assert sorted(got) == sorted(expected)
