@@ -6,14 +6,18 @@ are spread over the tasks and a task generates for all prompts of a batch at onc
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.points import starts_of
+
 
 #: Prompts that run together.
 _ROWS = 512
@@ -52,24 +56,26 @@ def _normal(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return d / np.sqrt((d * d).mean(-1, keepdims=True) + 1e-5) * w[0] + w[1]
 
 
-def _attention(x: np.ndarray, qkv: np.ndarray, shape: Shape) -> np.ndarray:
+def _attention(x: np.ndarray, qkv: np.ndarray, shape: Shape, last: bool) -> np.ndarray:
     b, t, c = x.shape
-    q, k, v = ((x @ qkv).reshape(b, t, 3, shape.heads, c // shape.heads).transpose(2, 0, 3, 1, 4))
-    score = q @ k.transpose(0, 1, 3, 2) / np.sqrt(c if shape.prototype else c // shape.heads)
-    score = np.where(np.tril(np.ones((t, t), bool)), score, -np.inf)
+    own = 1 if last else t  # places that ask
+    split = lambda y, n: y.reshape(b, y.shape[1], n, shape.heads, c // shape.heads).transpose(2, 0, 3, 1, 4)
+    (q,), (k, v) = split(x[:, t - own :] @ qkv[:, :c], 1), split(x @ qkv[:, c:], 2)
+    score = q @ k.transpose(0, 1, 3, 2) / math.sqrt(c if shape.prototype else c // shape.heads)  # a numpy scalar would widen all to 64 bits
+    score = np.where(np.tril(np.ones((t, t), bool))[t - own :], score, -np.inf)
     e = np.exp(score - score.max(-1, keepdims=True))
-    return ((e / e.sum(-1, keepdims=True)) @ v).transpose(0, 2, 1, 3).reshape(b, t, c)
+    return ((e / e.sum(-1, keepdims=True)) @ v).transpose(0, 2, 1, 3).reshape(b, own, c)
 
 
 def logits(weights: dict[str, np.ndarray], shape: Shape, ids: np.ndarray, last: bool = False) -> np.ndarray:
     """Logits (rows, places, vocabulary) of rows of identifiers no longer than the context; with last, of the last place only."""
     x = weights["token"][ids] + weights["place"][: ids.shape[1]]
     for i in range(shape.layers):
-        a = _attention(_normal(x, weights[f"{i}.norm1"]), weights[f"{i}.qkv"], shape)
-        x = x + (a if shape.prototype else a @ weights[f"{i}.out"] + weights[f"{i}.out_bias"])
+        only = last and i == shape.layers - 1  # in the last layer no other place counts any more
+        a = _attention(_normal(x, weights[f"{i}.norm1"]), weights[f"{i}.qkv"], shape, only)
+        x = (x[:, -1:] if only else x) + (a if shape.prototype else a @ weights[f"{i}.out"] + weights[f"{i}.out_bias"])
         h = np.maximum(_normal(x, weights[f"{i}.norm2"]) @ weights[f"{i}.up"] + weights[f"{i}.up_bias"], 0)
         x = x + h @ weights[f"{i}.down"] + weights[f"{i}.down_bias"]
-    x = x[:, -1:] if last else x
     return _normal(x, weights["norm"]) @ weights["head"] + weights["head_bias"]
 
 
@@ -81,21 +87,31 @@ def loss(weights: dict[str, np.ndarray], shape: Shape, x: np.ndarray, y: np.ndar
     return float((total - np.take_along_axis(z, y[..., None], -1)[..., 0]).mean())
 
 
-def _next(z: np.ndarray, temperature: float | None, k: int | None, uniform: np.ndarray) -> np.ndarray:
-    if temperature is None:
-        return z.argmax(-1)
-    z = z.astype(np.float64) / temperature
-    if k and k > 0:
-        if k > z.shape[-1]:
-            raise ValueError("k is greater than the vocabulary")
-        least = -np.partition(-z, k - 1, axis=-1)[:, k - 1 : k]
-        tied = z == least  # of equal logits the lesser identifiers stay
-        z = np.where((z > least) | tied & (np.cumsum(tied, -1) <= k - (z > least).sum(-1, keepdims=True)), z, -np.inf)
+def _draw(z: np.ndarray, uniform: np.ndarray) -> np.ndarray:
     p = np.exp(z - z.max(-1, keepdims=True))
     c = np.cumsum(p / p.sum(-1, keepdims=True), -1)
     return np.minimum((c <= uniform[:, None]).sum(-1), p.shape[-1] - 1 - np.argmax(p[:, ::-1] > 0, -1))
 
 
+def _next(z: np.ndarray, temperature: float | None, k: int | None, uniform: np.ndarray) -> np.ndarray:
+    if temperature is None:
+        return z.argmax(-1)
+    if not k or k < 0:
+        return _draw(z.astype(np.float64) / temperature, uniform)
+    n = z.shape[-1]
+    if k > n:
+        raise ValueError("k is greater than the vocabulary")
+    least = np.partition(z, n - k, axis=-1)[:, n - k, None]
+    kept = z >= least
+    if np.count_nonzero(kept) > k * len(z):  # of equal logits the lesser identifiers stay
+        above = z > least
+        tied = kept & ~above
+        kept = above | tied & (np.cumsum(tied, -1) <= k - above.sum(-1, keepdims=True))
+    ids = (np.flatnonzero(kept) % n).reshape(-1, k)
+    drawn = _draw(np.take_along_axis(z, ids, -1).astype(np.float64) / temperature, uniform)
+    return np.take_along_axis(ids, drawn[:, None], -1)[:, 0]
+
+
 def generate(prompts: DataFrame, weights: dict[str, np.ndarray], shape: Shape, new: int = 200, temperature: float | None = None, k: int | None = None, key: str = "prompt_id", ids: str = "ids", seed: int = 42) -> DataFrame:
     """key, ids: each prompt's identifiers followed by `new` more; the model sees the last `context` of them.
 
@@ -104,23 +120,28 @@ def generate(prompts: DataFrame, weights: dict[str, np.ndarray], shape: Shape, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, keys = b.column("ids").to_pylist(), b.column("h").to_pylist()
-            out: list[list[int]] = [[] for _ in rows]
-            by_length: dict[int, list[int]] = {}
-            for i, r in enumerate(rows):
-                if r:
-                    by_length.setdefault(len(r), []).append(i)
-            groups = [g[k : k + _ROWS] for g in by_length.values() for k in range(0, len(g), _ROWS)]
-            for own in groups:  # prompts of one length run together
-                have = np.array([rows[i] for i in own], np.int64)
-                rngs = [np.random.default_rng([seed, keys[i] & 0xFFFFFFFF]) for i in own]
-                for _ in range(new):
-                    z = logits(weights, shape, have[:, -shape.context :], last=True)[:, 0]
-                    have = np.concatenate([have, _next(z, temperature, k, np.array([g.random() for g in rngs]))[:, None]], 1)
-                for i, r in zip(own, have.tolist(), strict=True):
-                    out[i] = r
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.list_(pa.int32()))], names=[key, "ids"])
+            lists, keys = b.column("ids"), b.column("h").to_pylist()
+            length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            values, begin = lists.flatten().to_numpy(), starts_of(length)  # the items of null lists aren't among them
+            total = length + np.where(length > 0, new, 0)
+            offsets = np.concatenate([[0], np.cumsum(total)])
+            out = np.empty(offsets[-1], np.int32)
+            out[np.repeat(offsets[:-1] - begin, length) + np.arange(len(values))] = values
+            seen = np.minimum(length, shape.context)
+            for n in np.unique(seen[seen > 0]):  # prompts of which the model sees as many places run together
+                of = np.flatnonzero(seen == n)
+                for own in (of[i : i + _ROWS] for i in range(0, len(of), _ROWS)):
+                    end = begin[own] + length[own]
+                    have = np.concatenate([values[end[:, None] - np.arange(n, 0, -1)], np.zeros((len(own), new), np.int32)], 1)
+                    uniform = np.stack([np.random.default_rng([seed, keys[i] & 0xFFFFFFFF]).random(new) for i in own])
+                    for j in range(new):
+                        z = logits(weights, shape, have[:, max(n + j - shape.context, 0) : n + j], last=True)[:, 0]
+                        have[:, n + j] = _next(z, temperature, k, uniform[:, j])
+                    out[(offsets[own] + length[own])[:, None] + np.arange(new)] = have[:, n:]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out))
+            yield pa.RecordBatch.from_arrays([b.column("key"), lists], names=[key, "ids"])
 
     kind = prompts.schema[key].dataType.simpleString()
-    spread = prompts.sparkSession.sparkContext.defaultParallelism  # prompts are few and each is much work
+    spark = prompts.sparkSession
+    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # each prompt is much work
     return prompts.select(F.col(key).alias("key"), F.col(ids).alias("ids"), F.xxhash64(key).alias("h")).repartition(spread, "key").mapInArrow(run, f"`{key}` {kind}, ids array<int>")

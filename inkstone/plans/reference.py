@@ -27,6 +27,8 @@ MIB = 1 << 20
 TARGETS = (("1_5mb", int(1.5 * MIB)), ("5mb", 5 * MIB), ("10mb", 10 * MIB))
 #: Window length and number of windows of the sampled training batches.
 CONTEXT, BATCH, BATCHES = 64, 32, 4
+#: Characters generated after each document.
+NEW_CHARS = 200
 #: Sources that the dataset queries leave out.
 EXCLUDED = ("northkiln_commentary_1", "lampwell_export_3")
 
@@ -200,12 +202,13 @@ def _reports(s: SparkSession, d: str) -> DataFrame:
 
 
 def _generated(s: SparkSession, d: str) -> DataFrame:
-    """Eight characters after the first sixteen of every document with as many, by a model with random weights."""
-    docs = _docs(s, d).where(F.length("text") >= 16)
-    vocab = V.char_vocab(_docs(s, d), "text", "\n")
-    ids = V.encode(docs.select("doc_id", F.substring("text", 1, 16).alias("text")), vocab)
+    """n_ids, generated: the characters that a model with random weights puts after every document; none after an empty one."""
+    docs = _docs(s, d)
+    vocab = V.char_vocab(docs, "text", "\n")
     shape = Shape(vocab=vocab.count(), context=16, width=16, layers=1, heads=2)
-    return generate(ids, random_weights(shape), shape, new=8, temperature=0.8, k=20, key="doc_id").select("doc_id", F.size("ids").alias("n_ids"))
+    out = generate(V.encode(docs, vocab), random_weights(shape), shape, new=NEW_CHARS, temperature=0.8, k=20, key="doc_id")
+    new = out.select(F.struct("doc_id", F.size("ids").alias("n_ids")).alias("doc"), F.slice("ids", -NEW_CHARS, NEW_CHARS).alias("ids"))
+    return V.decode(new, vocab, key="doc").select("doc.doc_id", "doc.n_ids", F.col("text").alias("generated"))
 
 
 def _dataset_lines(s: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from inkstone.plans import reference
 from inkstone.operators import decoding as D
 from inkstone.operators import metrics as M
 from inkstone.operators import model as N
@@ -194,3 +195,37 @@ def test_components(spark):
 def test_report(spark):
     r = spark.range(1).select(D.report(*map(F.lit, ("T", "p", 5, "a\nb", 2, "xy")), F.lit(None).cast("string"), F.lit(20)).alias("r")).first().r
     assert r == "=== T ===\nCheckpoint: p\nCheckpoint step: 5\nPrompt: 'a\\nb'\nMax new chars: 2\nTop-k: 20\n\n=== Generated text ===\nxy\n"
+
+
+def test_greedy_generation_of_mixed_prompts_against_brute_force(spark):
+    shape = N.Shape(vocab=11, context=6, width=8, layers=2, heads=2)
+    w = N.random_weights(shape)
+    prompts = [[(7 * i + k * k) % 11 for k in range(i)] for i in (0, 1, 2, 5, 6, 7, 30)] * 2 + [None]
+    df = spark.createDataFrame(list(enumerate(prompts)), "prompt_id long, ids array<int>").coalesce(1)
+    want = {}
+    for i, p in enumerate(prompts):
+        have = list(p or [])
+        for _ in range(10 if p else 0):
+            have.append(int(N.logits(w, shape, np.array([have[-6:]]))[0, -1].argmax()))
+        want[i] = have
+    assert dict(N.generate(df, w, shape, new=10).collect()) == want
+
+
+def test_generate_query_continues_every_whole_document(spark, small):
+    docs = {r.doc_id: r.text for r in reference._docs(spark, small).collect()}
+    got = {r.doc_id: r for r in reference.queries()["generate"](spark, small).collect()}
+    assert got.keys() == docs.keys() and any(0 < len(t) < 16 for t in docs.values()) and "" in docs.values()
+    chars = sorted(set("".join(docs.values())) | {"\n"})
+    shape = N.Shape(vocab=len(chars), context=16, width=16, layers=1, heads=2)
+    w = N.random_weights(shape)
+    hashes = dict(spark.createDataFrame([(i,) for i in docs], "doc_id long").select("doc_id", F.xxhash64("doc_id")).collect())
+    for i, t in docs.items():
+        assert got[i].n_ids == (len(t) + 200 if t else 0) and len(got[i].generated) == (200 if t else 0)
+    for i in sorted(docs, key=lambda i: len(docs[i]))[::20]:
+        have = [chars.index(c) for c in docs[i]]
+        for u in np.random.default_rng([42, hashes[i] & 0xFFFFFFFF]).random(200) if have else ():
+            z = N.logits(w, shape, np.array([have[-16:]]))[0, -1].astype(float) / 0.8
+            best = sorted(np.argsort(-z, kind="stable")[:20])
+            p = np.exp(z[best] - z.max())
+            have.append(int(best[min((np.cumsum(p / p.sum()) <= u).sum(), 19)]))
+        assert got[i].generated == "".join(chars[x] for x in have[len(docs[i]) :])
