@@ -158,3 +158,11 @@ def test_versions_near_the_threshold_are_whole(spark):
     assert len(expected) >= len(records) / 2
     got = [tuple(r) for r in versions.version_pairs(spark.createDataFrame([(*r, "x", 1) for r in records], SCHEMA)).collect()]
     assert sorted(got) == sorted(expected)
+
+
+def test_short_versions(spark, rows):
+    texts = ["春眠", "春眠不", "春眠不覺", "眠不覺", "日山河海", "日山河海流", "日山河海入流", "甲乙丙", "甲乙丁戊"]
+    records = [(i, None, [t]) for i, t in enumerate(texts)]
+    expected = brute(records)
+    assert {(0, 1), (1, 2), (2, 3), (4, 5)} <= expected
+    assert rows(versions.version_pairs(spark.createDataFrame([(*r, "x", 1) for r in records], SCHEMA))) == sorted(expected)
