@@ -19,8 +19,14 @@ from pyspark.sql import functions as F
 
 # Letters and signs of other scripts, and the ones that they can't be told from.
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺοϲϳ", "ABEZHIKMNOPTYXCMocj")
-CYRILLIC = ("АВЕЅІЈКМНОРСТУХҺԌԚԜаеорсухѕіјһԛԝԁ", "ABESIJKMHOPCTYXhGQWaeopcyxsijhqwd")
+CYRILLIC = ("АВЕЅІЈКМНОРСТУХҺԌԚԜаеорсухѕіјһԛԝԁӀӏ", "ABESIJKMHOPCTYXhGQWaeopcyxsijhqwdIl")
+LATIN = ("ɑɡ", "ag")
 KATAKANA = ("エカタトニハロノーヘ", "工力夕卜二八口丿一へ")
+# Of the CJK Radicals Supplement those that an ideograph shows in the same shape; only two of its characters have a decomposition.
+SUPPLEMENT = (
+    "⺁⺂⺃⺄⺅⺆⺉⺊⺋⺎⺏⺐⺒⺓⺔⺕⺖⺗⺘⺙⺛⺜⺝⺞⺠⺡⺢⺣⺤⺦⺨⺩⺪⺭⺯⺰⺱⺲⺹⺺⺾⻂⻃⻄⻅⻆⻈⻉⻋⻌⻏⻐⻑⻒⻓⻔⻖⻗⻘⻙⻚⻛⻜⻝⻟⻠⻢⻣⻤⻥⻦⻧⻨⻩⻪⻫⻬⻭⻮⻯⻰⻱⻲",
+    "厂乛乚乙亻冂刂卜㔾兀尣尢巳幺彑彐忄㣺扌攵旡日月歺民氵氺灬爫丬犭王疋礻糹纟罓罒耂肀艹衤覀西见角讠贝车辶阝钅長镸长门阝雨青韦页风飞食飠饣马骨鬼鱼鸟卤麦黄黾斉齐歯齿竜龙龜亀",
+)
 #: Fixed value: one sign that stands for a row of others.
 ELLIPSIS = (0x2026, "...")
 #: Decompositions that change only the width or the form of the code, not the look.
@@ -44,7 +50,7 @@ def _invisible(c: str) -> bool:
 @lru_cache(1)
 def _prototypes() -> dict[int, str]:
     table: dict[int, str] = {}
-    for likes, looks in (GREEK, CYRILLIC, KATAKANA):
+    for likes, looks in (GREEK, CYRILLIC, LATIN, KATAKANA, SUPPLEMENT):
         table |= {ord(a): b for a, b in zip(likes, looks, strict=True)}
     table[ELLIPSIS[0]] = ELLIPSIS[1]
     return table

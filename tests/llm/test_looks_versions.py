@@ -166,3 +166,9 @@ def test_short_versions(spark, rows):
     expected = brute(records)
     assert {(0, 1), (1, 2), (2, 3), (4, 5)} <= expected
     assert rows(versions.version_pairs(spark.createDataFrame([(*r, "x", 1) for r in records], SCHEMA))) == sorted(expected)
+
+
+@pytest.mark.parametrize(("a", "b"), [("⺅⺡⻄⻢⻳", "亻氵西马龟"), ("⻏⻖", "阝阝"), ("yuɑnɡ", "yuang"), ("ɑ̄", "ā"), ("Ӏӏ", "Il")])
+def test_radicals_supplement_and_latin_letters(a, b):
+    assert L.skeleton(a) == L.skeleton(b) and L.readable(a) == b
+    assert L.skeleton(L.skeleton(a)) == L.skeleton(a)
