@@ -153,6 +153,15 @@ def _grid(s: SparkSession, d: str) -> DataFrame:
     return C.windows(C.corpus_blocks(_docs(s, d), CONTEXT), starts, CONTEXT)
 
 
+def _cover(s: SparkSession, d: str) -> DataFrame:
+    """Windows at every CONTEXT-th character, which cover the corpus but for an end that fills none: each block, and its shift by the next one's first character."""
+    blocks = C.corpus_blocks(_docs(s, d), CONTEXT)
+    after = blocks.select((F.col("block") - 1).alias("block"), F.substring("text", 1, 1).alias("first"))
+    x = F.col("text")
+    met = blocks.join(after, "block").where((F.length(x) == CONTEXT) & (F.length("first") == 1))
+    return met.select((F.col("block") * CONTEXT).alias("start"), x.alias("x"), F.concat(F.substring(x, 2, CONTEXT), "first").alias("y"))
+
+
 def _split(s: SparkSession, d: str) -> DataFrame:
     """Characters of each document in the training and in the validation part of the corpus."""
     total = _total(s, d)
@@ -268,6 +277,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bigram_counts": lambda s, d: V.bigram_counts(_docs(s, d)),
         "char_windows": _windows,
         "window_grid": _grid,
+        "window_cover": _cover,
         "page_counts": _page_counts,
         "query_keys": lambda s, d: R.with_query_key(_ci(s, d)).select("rec_id", "kd"),
         "low_count_tally": lambda s, d: R.low_counts(_rank(s, d)),
@@ -415,6 +425,9 @@ def oracle_sql() -> dict[str, str]:
         "bigram_counts": f"WITH {_DOCS}, p AS (SELECT text, unnest(range(1, length(text))) AS i FROM docs WHERE length(text) > 1) SELECT substring(text, i, 1) AS x, substring(text, i + 1, 1) AS y, count(*) AS n FROM p GROUP BY ALL",
         "window_grid": f"""WITH {_DOCS}, c AS (SELECT string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS t FROM docs), n AS (SELECT t, length(t) - {CONTEXT} - 1 AS last FROM c),
             g AS (SELECT DISTINCT t, floor(k * last / 99)::BIGINT AS start FROM n, range(100) r(k)) SELECT start, substring(t, start + 1, {CONTEXT}) AS x, substring(t, start + 2, {CONTEXT}) AS y FROM g""",
+        "window_cover": f"""WITH {_DOCS}, c AS (SELECT string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS t FROM docs), chars AS (SELECT unnest(string_split(t, '')) AS ch, unnest(range(length(t))) AS pos FROM c),
+            xs AS (SELECT pos // {CONTEXT} AS k, string_agg(ch, '' ORDER BY pos) AS x FROM chars GROUP BY k), ys AS (SELECT (pos - 1) // {CONTEXT} AS k, string_agg(ch, '' ORDER BY pos) AS y FROM chars WHERE pos > 0 GROUP BY k)
+            SELECT k * {CONTEXT} AS start, x, y FROM xs JOIN ys USING (k) WHERE length(y) = {CONTEXT}""",
         "page_counts": f"WITH {_RANK} SELECT source_file, rec_pos, {', '.join(f'coalesce({e}, 0) AS {e}' for e in ENGINES if e != 'bing_en')}, CASE WHEN bing_en IS NULL THEN 0 ELSE 7 END::BIGINT AS bing_en FROM ranks",
         "query_keys": f"WITH {_CI} SELECT rec_id, {_KEY.format('cis')} AS kd FROM cis",
         "low_count_tally": f"WITH {_RANK} {' UNION ALL '.join(map(_tally, R.MERGED))}",

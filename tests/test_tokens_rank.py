@@ -229,3 +229,11 @@ def test_generate_query_continues_every_whole_document(spark, small):
             p = np.exp(z[best] - z.max())
             have.append(int(best[min((np.cumsum(p / p.sum()) <= u).sum(), 19)]))
         assert got[i].generated == "".join(chars[x] for x in have[len(docs[i]) :])
+
+
+def test_window_cover_holds_the_whole_corpus(spark, small):
+    corpus = "\n\n".join(r.text for r in reference._docs(spark, small).orderBy("doc_id").collect())
+    got = sorted(map(tuple, reference.queries()["window_cover"](spark, small).collect()))
+    n = (len(corpus) - 1) // reference.CONTEXT
+    assert [s for s, _, _ in got] == [i * reference.CONTEXT for i in range(n)] and n > 100
+    assert "".join(x for _, x, _ in got) == corpus[: n * reference.CONTEXT] and "".join(y for _, _, y in got) == corpus[1 : n * reference.CONTEXT + 1]
