@@ -1,13 +1,12 @@
 """Per-key results where a few keys hold most records: dense accumulator arrays.
 
 Rows are spread over splits by a row key, never by the grouping key, so a split is as large as any
-other whatever its keys. Keys are encoded by a dictionary, each split adds its rows up in dense
-arrays with bincount, and the arrays are summed block by block. A split sends one array element
-for a key however many of its rows hold the key.
-
-The dictionary is broadcast while it has at most `dense_most` entries, which is checked. Beyond
-that a split numbers its own keys and sends its sums under the keys themselves; the result is the
-same.
+other whatever its keys. A split encodes its keys by a dictionary and adds its rows up in dense
+arrays, one place for each key; the dictionary is cut into blocks by the keys' hash, and a block's
+keys travel with its piece of every array. The pieces of a block meet in one task, which numbers the
+block's keys anew over all splits and adds the pieces place by place. A split sends one array
+element for a key however many of its rows hold the key, and no dictionary is ever collected or
+broadcast, so the number of keys has no bound.
 """
 
 from __future__ import annotations
@@ -20,80 +19,132 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a dictionary that is broadcast.
-DENSE_MOST = 200_000
-#: Keys in one block of the arrays.
-BLOCK = 1024
+from ..session import cut
+
+#: Blocks of the dictionary for each shuffle partition; a task holds one block at a time.
+BLOCKS_A_TASK = 8
+#: Array elements that are held before they are added up or passed on.
+_HELD = 1 << 20
+
+
+def _reduced(keys: pa.Array, sums: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct keys, their sums (measures in rows, exact in 64 bits) and the first place of each."""
+    encoded = keys.dictionary_encode()
+    codes = encoded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    first = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    return encoded.dictionary, np.add.reduceat(sums[:, order], first, axis=1) if len(first) else sums[:, :0], order[first]
+
 
+class _Accumulator:
+    """Keys with a dense array for each measure, grown as keys appear."""
 
-def _sums(codes: np.ndarray, batch: pa.RecordBatch, measures: Sequence[str], n: int) -> list[np.ndarray]:
-    held = codes >= 0
-    out = [np.bincount(codes[held], minlength=n)]
-    for m in measures:
-        v = pc.fill_null(batch.column(m), 0).to_numpy(zero_copy_only=False)[held]
-        out.append(np.rint(np.bincount(codes[held], weights=v, minlength=n)).astype(np.int64))
-    return out
+    def __init__(self, measures: int):
+        self.measures, self.n = measures, 0
+        self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
+    def add(self, keys: pa.Array, sums: np.ndarray, blocks: np.ndarray) -> None:
+        found, added, at = _reduced(keys, sums)
+        self.parts.append((found, added, blocks[at]))
+        self.n += len(found)
+
+    def shrink(self) -> None:
+        if len(self.parts) > 1:
+            keys, sums, blocks = (list(p) for p in zip(*self.parts, strict=True))
+            self.parts, self.n = [], 0
+            self.add(pa.concat_arrays(keys), np.concatenate(sums, 1), np.concatenate(blocks))
+
+
+def _split(fields: Sequence[str], measures: Sequence[str]):
+    names = ["block", "key_field", "keys", "records", *measures]
+
+    def sent(field: str, a: _Accumulator) -> Iterator[pa.RecordBatch]:
+        a.shrink()
+        for keys, sums, blocks in a.parts:
+            order = np.argsort(blocks, kind="stable")
+            first = np.flatnonzero(np.diff(blocks[order], prepend=-1))
+            bounds = pa.array(np.append(first, len(order)), pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, keys.take(pa.array(order)))] + [pa.ListArray.from_arrays(bounds, pa.array(s[order], pa.int64())) for s in sums]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[order][first], pa.int32()), pa.array([field] * len(first), pa.string()), *lists], names=names)
 
-def _dense(keys: dict[str, list[str]], measures: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = {f: pa.array(v, pa.string()) for f, v in keys.items()}
-        totals = {f: np.zeros((1 + len(measures), len(v)), np.int64) for f, v in keys.items()}
+        held = {f: _Accumulator(1 + len(measures)) for f in fields}
         for b in batches:
-            for f, values in sets.items():
-                codes = pc.fill_null(pc.index_in(b.column(f), value_set=values), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                totals[f] += np.stack(_sums(codes, b, measures, len(values)))
-        for f, t in totals.items():
-            for k in range(0, t.shape[1], BLOCK):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f]), pa.array([k // BLOCK], pa.int32())] + [pa.array([x[k : k + BLOCK]], pa.list_(pa.int64())) for x in t], names=["key_field", "block", "records", *measures]
-                )
+            values = np.stack([np.ones(b.num_rows, np.int64), *(pc.fill_null(b.column(f"m{k}"), 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(measures)))])
+            for k, f in enumerate(fields):
+                has = np.flatnonzero(b.column(f"k{k}").is_valid().to_numpy(zero_copy_only=False))
+                held[f].add(b.column(f"k{k}").take(pa.array(has)), values[:, has], b.column(f"b{k}").to_numpy(zero_copy_only=False)[has])
+                if held[f].n > _HELD:
+                    held[f].shrink()
+                    if held[f].n > _HELD // 2:  # as many distinct keys: what is sent now is added to the rest by its block
+                        yield from sent(f, held[f])
+                        held[f] = _Accumulator(1 + len(measures))
+        for f in fields:
+            yield from sent(f, held[f])
 
     return run
 
 
-def _local(fields: Sequence[str], measures: Sequence[str]):
+def _summed(measures: Sequence[str]):
+    names = ["key_field", "key_value", "records", *measures]
+
+    def done(field: str, a: _Accumulator) -> Iterator[pa.RecordBatch]:
+        a.shrink()
+        for keys, sums, _ in a.parts:
+            yield pa.RecordBatch.from_arrays([pa.array([field] * len(keys), pa.string()), keys, *(pa.array(s, pa.int64()) for s in sums)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks arrive in order; the arrays of a block are added up as they come."""
+        now, held = None, None
         for b in batches:
-            for f in fields:
-                encoded = b.column(f).dictionary_encode()
-                codes = pc.fill_null(encoded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                sums = _sums(codes, b, measures, len(encoded.dictionary))
-                yield pa.RecordBatch.from_arrays([pa.array([f] * len(encoded.dictionary), pa.string()), encoded.dictionary] + [pa.array(x, pa.int64()) for x in sums], names=["key_field", "key_value", "records", *measures])
+            for i, at in enumerate(zip(b.column("block").to_pylist(), b.column("key_field").to_pylist(), strict=True)):
+                if at != now:
+                    if now is not None:
+                        yield from done(now[1], held)
+                    now, held = at, _Accumulator(1 + len(measures))
+                keys = b.column("keys").slice(i, 1).flatten()
+                held.add(keys, np.stack([b.column(m).slice(i, 1).flatten().to_numpy() for m in names[2:]]), np.zeros(len(keys), np.int32))
+                if held.n > _HELD and len(held.parts) > 8:
+                    held.shrink()
+        if now is not None:
+            yield from done(now[1], held)
 
     return run
 
 
-def key_totals(df: DataFrame, fields: Sequence[str], measures: Sequence[str] = (), row_key: str = "rec_id", dense_most: int = DENSE_MOST) -> DataFrame:
+def _records(df: DataFrame, fields: Sequence[str], measures: Sequence[str], row_key: str) -> DataFrame:
+    """k0.. (keys), m0.. (measures) of each record once."""
+    cols = [F.col(f).alias(f"k{i}") for i, f in enumerate(fields)] + [F.col(m).cast("long").alias(f"m{i}") for i, m in enumerate(measures)]
+    return df.where(F.col(row_key).isNotNull()).select(F.col(row_key).alias("r"), *cols).dropDuplicates(["r"])
+
+
+def _totals(rows: DataFrame, fields: Sequence[str], measures: Sequence[str], blocks: int | None) -> DataFrame:
+    spark = rows.sparkSession
+    blocks = blocks or BLOCKS_A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = rows.drop("r").withColumns({f"b{i}": F.coalesce(F.pmod(F.xxhash64(f"k{i}"), F.lit(blocks)), F.lit(0)).cast("int") for i in range(len(fields))})
+    kind = ", ".join(f"`{m}` array<long>" for m in ("records", *measures))
+    arrays = numbered.mapInArrow(_split(fields, measures), f"block int, key_field string, keys array<string>, {kind}")
+    met = arrays.repartition("block").sortWithinPartitions("block", "key_field")
+    return met.mapInArrow(_summed(measures), "key_field string, key_value string, " + ", ".join(f"`{m}` long" for m in ("records", *measures)))
+
+
+def key_totals(df: DataFrame, fields: Sequence[str], measures: Sequence[str] = (), row_key: str = "rec_id", blocks: int | None = None) -> DataFrame:
     """key_field, key_value, records and the sum of each measure, for each non-null value of each string field.
 
     Rows with the same row_key count once (they repeat the same content); rows with a null one are
-    left out. Measures are integers, null counts as 0. The empty string is a value as any other. An
-    empty table gives an empty result.
+    left out. Measures are integers added in 64 bits, null counts as 0. The empty string is a value
+    as any other. An empty table gives an empty result.
+    """
+    return _totals(_records(df, fields, measures, row_key), fields, measures, blocks)
+
+
+def heavy_keys(df: DataFrame, fields: Sequence[str], row_key: str = "rec_id", percent: int = 2, blocks: int | None = None) -> DataFrame:
+    """key_field, key_value of the values that hold at least `percent` % of all records (null values count in the total).
+
+    The number of records is added up in the same arrays, as the one key of a field of its own, so the table is read once.
     """
-    spark = df.sparkSession
-    rows = df.where(F.col(row_key).isNotNull()).select(row_key, *fields, *measures).dropDuplicates([row_key])
-    names = ["records", *measures]
-    keys = {}
-    for f in fields:
-        found = [r[0] for r in df.where(F.col(f).isNotNull()).select(f).distinct().limit(dense_most + 1).collect()]  # limit: the size check
-        if len(found) > dense_most:
-            keys = None
-            break
-        keys[f] = sorted(found)
-    if keys is None:
-        partial = rows.mapInArrow(_local(fields, measures), "key_field string, key_value string, " + ", ".join(f"{m} long" for m in names))
-        return partial.groupBy("key_field", "key_value").agg(*[F.sum(m).alias(m) for m in names]).where("records > 0")
-    arrays = rows.mapInArrow(_dense(keys, measures), "key_field string, block int, " + ", ".join(f"{m} array<long>" for m in names))
-    each = arrays.select("key_field", "block", F.posexplode(F.arrays_zip(*names)).alias("place", "v"))
-    summed = each.groupBy("key_field", "block", "place").agg(*[F.sum(f"v.{m}").alias(m) for m in names])
-    entries = [(f, i // BLOCK, i % BLOCK, v) for f, vs in keys.items() for i, v in enumerate(vs)]
-    dictionary = spark.createDataFrame(entries, "key_field string, block int, place int, key_value string")
-    return dictionary.join(summed, ["key_field", "block", "place"]).where("records > 0").select("key_field", "key_value", *names)
-
-
-def heavy_keys(df: DataFrame, fields: Sequence[str], row_key: str = "rec_id", percent: int = 2, dense_most: int = DENSE_MOST) -> DataFrame:
-    """key_field, key_value of the values that hold at least `percent` % of all records (null values count in the total)."""
-    totals = key_totals(df, fields, (), row_key, dense_most)
-    whole = df.agg(F.count_distinct(row_key)).first()[0]
-    return totals.where(F.col("records") * 100 >= F.lit(whole * percent)).select("key_field", "key_value")
+    rows = _records(df, fields, (), row_key).withColumn(f"k{len(fields)}", F.lit(""))
+    totals = cut(_totals(rows, [*(f"+{f}" for f in fields), "all"], (), blocks))
+    whole = totals.where("key_field = 'all'").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    named = F.substring("key_field", 2, 1 << 20)
+    return totals.where((F.col("key_field") != "all") & (F.col("records") * 100 >= F.lit(whole * percent))).select(named.alias("key_field"), "key_value")

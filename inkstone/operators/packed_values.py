@@ -1,4 +1,11 @@
-"""Several values packed in one field: a quote-aware finite-state tokenizer."""
+"""Several values packed in one field: a quote-aware finite-state tokenizer.
+
+The tokenizer walks once over the signs that mean something (separators, quotes, escapes, brackets)
+and is in one of four states: before a value, in a plain value, in a quoted one, behind a closing
+quote. Nesting is known beforehand: one walk with a stack gives every bracket its partner, and those
+without one are ordinary characters. A quote that turns out not to close a value is an ordinary
+character too; the walk then goes on from it as from a plain value's beginning.
+"""
 
 from __future__ import annotations
 
@@ -14,78 +21,65 @@ QUOTES = "\"'"
 OPENING, CLOSING = "（(〔【", "）)〕】"
 ESCAPE = "\\"
 
-_BREAK = re.compile(f"[{re.escape(SEPARATORS)}\r{re.escape(OPENING)}]")
+_BEFORE, _PLAIN, _QUOTED, _BEHIND = range(4)
+_SIGN = re.compile(f"\r\n|{re.escape(ESCAPE)}[{QUOTES}]|\"\"|''|[{re.escape(SEPARATORS + QUOTES + OPENING)}]")
 _ROUND = re.compile(f"[{re.escape(OPENING + CLOSING)}]")
 
 
-def _separator(text: str, at: int) -> int:
-    """Length of the separator at a place; 0 if there is none. A carriage return belongs to the line feed after it."""
-    if at < len(text):
-        if text[at] in SEPARATORS:
-            return 1
-        if text.startswith("\r\n", at):
-            return 2
-    return 0
-
-
-def _blank(text: str, at: int) -> int:
-    """The first place from `at` on that is no blank, or a separator."""
-    while at < len(text) and text[at].isspace() and not _separator(text, at):
-        at += 1
-    return at
-
-
-def _after_note(text: str, at: int) -> int:
-    """The place behind the bracketed note that opens at `at`; at + 1 if it is never closed."""
-    depth = 0
-    for m in _ROUND.finditer(text, at):
-        depth += 1 if m[0] in OPENING else -1
-        if depth == 0:
-            return m.end()
-    return at + 1
-
-
-def _quoted(text: str, at: int) -> tuple[str, int] | None:
-    """The value in the quotes that open at `at`, and the place of the separator or end behind it."""
-    quote, out, i = text[at], [], at + 1
-    while i < len(text):
-        c = text[i]
-        if c == ESCAPE and i + 1 < len(text) and text[i + 1] in QUOTES:
-            out.append(text[i + 1])
-            i += 2
-        elif c == quote and text.startswith(quote, i + 1):
-            out.append(quote)
-            i += 2
-        elif c == quote:
-            end = _blank(text, i + 1)
-            return ("".join(out), end) if end == len(text) or _separator(text, end) else None
-        else:
-            out.append(c)
-            i += 1
-    return None
+def _notes(text: str) -> dict[int, int]:
+    """Where each bracketed note ends, by the place where it opens; brackets of any shape close each other."""
+    ends, stack = {}, []
+    for m in _ROUND.finditer(text):
+        if m[0] in OPENING:
+            stack.append(m.start())
+        elif stack:
+            ends[stack.pop()] = m.end()
+    return ends
 
 
 def tokenize(text: str) -> list[str]:
     """All places of an element in order, empty ones included; quotes and notes protect separators."""
-    places, i = [], 0
+    notes = _notes(text)
+    places: list[str] = []
+    state, begin, quote, opened, value = _BEFORE, 0, "", 0, []
+    at = seen = 0  # where to look for the next sign; where the current stretch of characters began
     while True:
-        begin = _blank(text, i)
-        found = _quoted(text, begin) if begin < len(text) and text[begin] in QUOTES else None
-        if found:
-            value, i = found
-        else:
-            i = begin
-            while True:
-                m = _BREAK.search(text, i)
-                i = m.start() if m else len(text)
-                if not m or _separator(text, i):
-                    break
-                i = _after_note(text, i) if text[i] in OPENING else i + 1
-            value = text[begin:i]
-        places.append(value.strip())
-        if i >= len(text):
+        m = _SIGN.search(text, at)
+        sign, start, end = (m[0], m.start(), m.end()) if m else (None, len(text), len(text))
+        separator = sign is None or sign == "\r\n" or sign in SEPARATORS
+        if state == _BEFORE:
+            if not separator and text[start] in QUOTES and not text[begin:start].strip():
+                state, quote, opened, value = _QUOTED, text[start], start, []
+                at = seen = start + 1  # the second of two quotes may close an empty value
+                continue
+            state = _PLAIN
+        if state == _PLAIN:
+            if separator:
+                places.append(text[begin:start].strip())
+            else:
+                at = notes.get(start, start + 1)
+                continue
+        elif state == _QUOTED:
+            if sign is None:
+                state, at = _PLAIN, opened + 1
+                continue
+            if sign == quote:
+                value.append(text[seen:start])
+                state, at, seen = _BEHIND, end, end
+            elif sign == quote * 2 or sign[0] == ESCAPE:
+                value.append(text[seen:start] + sign[1])
+                at = seen = end
+            else:
+                at = start + 1 if sign[0] in QUOTES else end
+            continue
+        elif state == _BEHIND:
+            if not separator or text[seen:start].strip():
+                state, at = _PLAIN, opened + 1
+                continue
+            places.append("".join(value).strip())
+        if sign is None:
             return places
-        i += _separator(text, i)
+        state, begin, at = _BEFORE, end, end
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Packed values (p4) and per-key totals under skew (p6)."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -39,6 +40,12 @@ def test_tokenize(text, places):
     assert tokenize(text) == places
 
 
+@pytest.mark.parametrize("text", ["(a|" * 50_000, "'a|" * 50_000, '"(|' * 50_000, "(|)" * 50_000])
+def test_unclosed_signs_take_no_longer_than_others(text):
+    began = time.time()
+    assert tokenize(text) and time.time() - began < 2
+
+
 PART = st.text("春夏，。ab （）()\"'\\" + SEPARATORS, max_size=8)
 
 
@@ -69,8 +76,8 @@ def test_split_values_rows(spark, rows):
     assert split_values(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("dense", [0, 3, 1000])
-def test_key_totals(spark, dense):
+@pytest.mark.parametrize("blocks", [1, 7, None])
+def test_key_totals(spark, blocks):
     rng = random.Random(1)
     data = []
     for i in range(2000):
@@ -84,12 +91,20 @@ def test_key_totals(spark, dense):
             if k is not None:
                 n[f, k] += 1
                 total[f, k] += v or 0
-    got = {(r.key_field, r.key_value): (r.records, r.n) for r in H.key_totals(df, ["a", "b"], ["n"], dense_most=dense).collect()}
+    got = {(r.key_field, r.key_value): (r.records, r.n) for r in H.key_totals(df, ["a", "b"], ["n"], blocks=blocks).collect()}
     assert got == {k: (n[k], total[k]) for k in n}
-    heavy = {tuple(r) for r in H.heavy_keys(df, ["a", "b"], percent=5, dense_most=dense).collect()}
+    heavy = {tuple(r) for r in H.heavy_keys(df, ["a", "b"], percent=5, blocks=blocks).collect()}
     assert heavy == {k for k, v in n.items() if v * 100 >= 2000 * 5}
 
 
+def test_more_keys_than_a_split_holds(spark, monkeypatch):
+    monkeypatch.setattr(H, "_HELD", 1000)
+    big = 1 << 60
+    df = spark.range(30_000).selectExpr("id as rec_id", "cast(id % 20000 as string) as a", f"{big} + id as n").repartition(3)
+    got = {r.key_value: (r.records, r.n) for r in H.key_totals(df, ["a"], ["n"], blocks=2).collect()}
+    assert got == {str(i): (2, 2 * big + 2 * i + 20000) if i < 10000 else (1, big + i) for i in range(20000)}
+
+
 def test_key_totals_of_nothing(spark):
     df = spark.createDataFrame([], "rec_id long, a string")
     assert H.key_totals(df, ["a"]).count() == 0 and H.heavy_keys(df, ["a"]).count() == 0
