@@ -1,13 +1,12 @@
 """Encoding with a public byte-level BPE vocabulary.
 
-Two tiers: a minimal perfect hash resolves whole pre-tokens that are in the vocabulary; the others
-are merged pair by pair, the pair of least rank first, over linked bytes. Pre-tokens of usual
-length are merged side by side: a row of an array holds one pre-token's bytes as a linked list with
-the ranks of its pairs, and each step takes the least pair of every row. For longer ones a heap
-holds the pairs. Pair ranks come from a second perfect hash. Each block of texts encodes a distinct
+Two tiers: a minimal perfect hash resolves whole pre-tokens that are in the vocabulary; the others,
+whatever their length, are merged pair by pair, the pair of least rank first, by a heap over linked
+bytes. The pre-tokens of a block share one heap: what comes out of it is a rank with all places of
+its pairs. Pair ranks come from a second perfect hash. Each block of texts encodes a distinct
 pre-token once.
 
-Vocabulary files are read from a folder given as a parameter.
+Vocabulary files are read on the driver from a folder given as a parameter; the tasks get the tables by broadcast.
 """
 
 from __future__ import annotations
@@ -30,10 +29,10 @@ from .perfect_hash import PerfectHash
 FOLDER = "/opt/tokenizers"
 #: Fixed value: the vocabulary's pattern of pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pre-tokens of more bytes are merged by a heap.
-SIDE_BY_SIDE = 96
-#: Rows merged side by side, and characters encoded at once.
-_ROWS, _BLOCK = 8192, 1 << 21
+#: Characters encoded at once.
+_BLOCK = 1 << 22
+#: Places of a rank that are kept one by one; more stay an array.
+_FEW = 64
 _NEVER = np.int32(np.iinfo(np.int32).max)
 _BASE = np.uint64(0x100000001B3)
 
@@ -77,6 +76,11 @@ class Vocabulary:
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = {(ranks[t[:k]] << 32) | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         self.pairs = PerfectHash(np.fromiter(pairs, np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
+        self.early = np.zeros(int(ids.max()) + 1, bool)  # tokens in a pair that ranks before them
+        for pair, r in pairs.items():
+            for t in (pair >> 32, pair & 0xFFFFFFFF):
+                if r < t:
+                    self.early[t] = True
         self.words = regex.compile(PATTERN)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -95,103 +99,98 @@ class Vocabulary:
             ids[hit[np.add.reduceat(unlike, starts_of(length[hit])) > 0]] = -1
         return ids
 
-    def _side_by_side(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Rows of token ids, -1 where a byte has been merged into the token before it."""
-        n, width = len(begin), int(length.max())
-        column = np.arange(width)
-        inside = column < length[:, None]
-        token = np.where(inside, self.of_byte[data[np.minimum(begin[:, None] + column, len(data) - 1)]], -1).astype(np.int32)
-        rank = np.full((n, width), _NEVER, np.int32)
-        if width > 1:
-            pair = inside[:, 1:]
-            rank[:, :-1][pair] = self._rank(token[:, :-1][pair], token[:, 1:][pair])
-        after = np.broadcast_to(column + 1, (n, width)).astype(np.int16)
-        after[np.arange(n), length - 1] = width
-        before = np.broadcast_to(column - 1, (n, width)).astype(np.int16)
-        out = np.full((n, width), -1, np.int32)
-        own = np.arange(n)
-        while len(own):
-            rows = np.arange(len(own))
-            j = rank.argmin(1)
-            r = rank[rows, j]
-            going = r < _NEVER
-            if not going.all():
-                if going.mean() < 0.75 or not going.any():
-                    out[own[~going]] = token[~going]
-                    own, token, rank, after, before = own[going], token[going], rank[going], after[going], before[going]
-                    j, r = j[going], r[going]
-                    rows = np.arange(len(own))
-                else:
-                    rows, j, r = rows[going], j[going], r[going]
-            if not len(rows):
-                continue
-            k = after[rows, j].astype(np.int64)
-            nxt = after[rows, k].astype(np.int64)
-            token[rows, j], token[rows, k], rank[rows, k] = r, -1, _NEVER
-            after[rows, j] = nxt
-            has = nxt < width
-            before[rows[has], nxt[has]] = j[has]
-            prev = before[rows, j].astype(np.int64)
-            led = prev >= 0
-            left = np.concatenate([r[has], token[rows[led], prev[led]]])
-            right = np.concatenate([token[rows[has], nxt[has]], r[led]])
-            new = self._rank(left, right)
-            m = int(has.sum())
-            rank[rows, j] = _NEVER
-            rank[rows[has], j[has]] = new[:m]
-            rank[rows[led], prev[led]] = new[m:]
-        return out
+    def _overtaken(self, r: int, token: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether r, merged between left and right (places, -1: none), would form a pair that ranks before it; either neighbour may be r by then."""
+        out = np.zeros(len(left), bool)
+        for side, other in ((left, True), (right, False)):
+            has = np.flatnonzero(side >= 0)
+            own, beside = np.full(len(has), r, np.int32), token[side[has]]
+            out[has] |= self._rank(*((beside, own) if other else (own, beside))) < r
+        return out | (self._rank(np.array([r]), np.array([r]))[0] < r)
 
-    def _by_heap(self, word: np.ndarray) -> np.ndarray:
-        token = self.of_byte[word].tolist()
+    def _merged(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pre-tokens in a row, and how many each has, by a heap over linked bytes.
+
+        The bytes of all pre-tokens lie in a row, each linked to its neighbours within the pre-token.
+        The heap holds the ranks of the pairs that stand somewhere, and each rank the places of its
+        pairs. The least rank comes out of the heap; its pairs are merged at all places at once, from
+        the left where they overlap, and the pairs that arise go onto the heap. Pre-tokens don't
+        touch each other, so each sees its own pairs merged in the order of their ranks.
+        """
+        many = len(begin)
+        first = starts_of(length)
+        token = self.of_byte[data[ragged(begin, length)]]
         n = len(token)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks = self._rank(np.array(token[:-1]), np.array(token[1:]))
-        heap = [(int(r), i, token[i], token[i + 1]) for i, r in enumerate(ranks.tolist()) if r < _NEVER]
-        heapq.heapify(heap)
-        known: dict[tuple[int, int], int] = {}
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            k = after[i]
-            if token[i] != a or k >= n or token[k] != b:
-                continue  # one of the two has changed meanwhile
-            token[i], token[k] = r, -1
-            after[i] = nxt = after[k]
-            if nxt < n:
-                before[nxt] = i
-            for x, y in ((before[i], i), (i, nxt)):
-                if x >= 0 and y < n:
-                    pair = (token[x], token[y])
-                    if pair not in known:
-                        known[pair] = int(self._rank(np.array([pair[0]]), np.array([pair[1]]))[0])
-                    if known[pair] < _NEVER:
-                        heapq.heappush(heap, (known[pair], x, *pair))
-        return np.array([t for t in token if t >= 0], np.int32)
+        word = np.repeat(np.arange(many), length)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[first + length - 1], before[first] = -1, -1
+        rank = np.full(n, _NEVER, np.int32)
+        paired = np.flatnonzero(after >= 0)
+        rank[paired] = self._rank(token[paired], token[paired + 1])
+        places: dict[int, list[int]] = {}
+        blocks: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def push(at: np.ndarray, ranks: np.ndarray) -> None:
+            if len(at) <= _FEW:
+                for p, r in zip(at.tolist(), ranks.tolist(), strict=True):
+                    if r in places:
+                        places[r].append(p)
+                    else:
+                        places[r] = [p]
+                        heapq.heappush(heap, r)
+                return
+            order = np.argsort(ranks, kind="stable")
+            at, ranks = at[order], ranks[order]
+            cut = np.flatnonzero(np.diff(ranks, prepend=-1)).tolist()
+            for i, j, r in zip(cut, [*cut[1:], len(at)], ranks[cut].tolist(), strict=True):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(heap, r)
+                if j - i > _FEW:
+                    blocks.setdefault(r, []).append(at[i:j])
+                else:
+                    places[r] += at[i:j].tolist()
 
-    def _merged(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pre-tokens in a row, and how many each has."""
-        count, parts, whose = np.zeros(len(begin), np.int64), [], []
-        order = np.argsort(length, kind="stable")
-        usual = order[: int((length <= SIDE_BY_SIDE).sum())]
-        start = 0
-        while start < len(usual):
-            widest = -(-int(length[usual[start]]) // 6) * 6
-            stop = min(start + _ROWS, int(np.searchsorted(length[usual], widest, side="right")))
-            own = usual[start:stop]
-            rows = self._side_by_side(data, begin[own], length[own])
-            kept = rows >= 0
-            count[own] = kept.sum(1)
-            parts.append(rows[kept])
-            whose.append(np.repeat(own, count[own]))
-            start = stop
-        for i in order[len(usual) :]:
-            ids = self._by_heap(data[begin[i] : begin[i] + length[i]])
-            count[i] = len(ids)
-            parts.append(ids)
-            whose.append(np.full(len(ids), i))
-        if not parts:
-            return np.zeros(0, np.int32), count
-        return np.concatenate(parts)[np.argsort(np.concatenate(whose), kind="stable")], count
+        has = np.flatnonzero(rank < _NEVER)
+        push(has, rank[has])
+        while heap:
+            r = heapq.heappop(heap)
+            j = np.array(sorted(set(places.pop(r))), np.int64)
+            if r in blocks:
+                j = np.unique(np.concatenate([j, *blocks.pop(r)]))
+            j = j[rank[j] == r]  # at the other places one of the two has changed meanwhile
+            if len(j) > 1:
+                loose = np.ones(len(j), bool)
+                loose[1:] = after[j[:-1]] != j[1:]
+                at = np.arange(len(j))
+                leads = (at - np.maximum.accumulate(np.where(loose, at, 0))) % 2 == 0
+                if self.early[r]:  # where a pair that comes before r would arise, one place of a pre-token at a time
+                    leads &= ~np.isin(word[j], word[j[self._overtaken(r, token, before[j], after[after[j]])]]) | (np.diff(word[j], prepend=-1) > 0)
+                if not leads.all():
+                    later, j = j[~leads], j[leads]
+                    push(later, rank[later])
+            elif not len(j):
+                continue
+            k = after[j]
+            right = after[k]
+            token[j], token[k] = r, -1
+            rank[j], rank[k] = _NEVER, _NEVER
+            after[j] = right
+            has = right >= 0
+            before[right[has]] = j[has]
+            left = before[j]
+            led = left >= 0
+            x = np.concatenate([j[has], left[led]])
+            if not len(x):
+                continue
+            new = self._rank(token[x], token[after[x]])
+            rank[x] = new
+            live = new < _NEVER
+            if live.any():
+                push(x[live], new[live])
+        kept = token >= 0
+        return token[kept], np.add.reduceat(kept, first).astype(np.int64) if many else np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
@@ -229,6 +228,11 @@ def vocabulary(name: str = "byte_bpe_50k", folder: str = FOLDER) -> Vocabulary:
     return Vocabulary({base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)})
 
 
+def _sent(df: DataFrame, name: str, folder: str):
+    """The vocabulary with its hashes, built once on the driver and broadcast; its size is that of the vocabulary file."""
+    return df.sparkSession.sparkContext.broadcast(vocabulary(name, folder))
+
+
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
     texts = [t or "" for t in batch.column("text").to_pylist()]
     start = 0
@@ -247,8 +251,10 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", name: s
     Strings that spell special tokens are ordinary text. Rows are returned as often as they come.
     """
 
+    sent = _sent(df, name, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(name, folder)
+        v = sent.value
         for b in batches:
             for start, texts in _blocks(b):
                 ids, count = v.encode(texts)
@@ -262,8 +268,10 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", name: s
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
     """key, n_tokens of every row; 0 for an empty and for a null text."""
 
+    sent = _sent(df, name, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(name, folder)
+        v = sent.value
         for b in batches:
             for start, texts in _blocks(b):
                 yield pa.RecordBatch.from_arrays([b.column("key").slice(start, len(texts)), pa.array(v.encode(texts)[1], pa.int64())], names=[key, "n_tokens"])

@@ -40,12 +40,38 @@ def test_ids_equal_the_public_library(reference):
         assert reference.decode(b.tolist()) == a
 
 
-def test_both_merges_agree():
-    v = bpe.vocabulary()
-    for t in ("春夏秋冬月花水風", "abcabcabc" * 5, "□□□", "z"):
-        word = np.frombuffer(t.encode(), np.uint8)
-        rows = v._side_by_side(word, np.array([0]), np.array([len(word)]))
-        assert rows[rows >= 0].tolist() == v._by_heap(word).tolist()
+def plain_merge(ranks, word):
+    """The pair of least rank first, the leftmost of equal ones."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_merges_where_a_later_pair_ranks_first():
+    """Small made-up vocabularies, in which merging a pair often forms one of lower rank."""
+    for seed in range(60):
+        rng = random.Random(seed)
+        more = {bytes(rng.choices(b"abc", k=rng.randint(2, 5))) for _ in range(40)}
+        tokens = [bytes([i]) for i in range(256)] + rng.sample(sorted(more), len(more))
+        ranks = {t: i for i, t in enumerate(tokens)}
+        v = bpe.Vocabulary(ranks)
+        words = ["".join(rng.choices("abc", k=rng.randint(1, 30))) for _ in range(80)] + ["a" * k for k in range(1, 40)]
+        ids, count = v.encode(words)
+        for w, got in zip(words, np.split(ids, np.cumsum(count)[:-1]), strict=True):
+            assert got.tolist() == ([ranks[w.encode()]] if w.encode() in ranks else plain_merge(ranks, w.encode())), (seed, w)
+
+
+@pytest.mark.parametrize("length", [31, 32, 95, 96, 97, 98, 300, 20000])
+def test_pretokens_of_any_length_take_one_path(reference, length):
+    v, rng = bpe.vocabulary(), random.Random(length)
+    t = ["".join(rng.choices(pool, k=length // len(pool[0].encode()) + 1)) for pool in ("abcdefghij", "春夏秋冬月花水風", "□", "ab", "😀🍂", "=", "абвгд")]
+    ids, count = v.encode(t)
+    for a, b in zip(t, np.split(ids, np.cumsum(count)[:-1]), strict=True):
+        assert b.tolist() == reference.encode_ordinary(a), a[:30]
 
 
 def test_perfect_hash():
