@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from inkstone.llm import golay, versions
+from inkstone.llm import expand, golay, versions
 from inkstone.llm import lookalike as L
 
 SAME = [
@@ -24,22 +24,35 @@ SAME = [
     ("…", "..."),
     ("a\r\nb", "a\nb"),
 ]
-DIFFERENT = [("1", "①"), ("1", "¹"), ("e", "è"), ("è", "ē"), ("鄰", "隣"), ("，", "。"), ("ab", "a b"), ("a", "A"), ("|", "¦"), ("来", "來"), ("カ", "ガ")]
+SAME += [("v", "ν"), ("i", "ι"), ("o", "օ"), ("A", "Ꭺ"), ("l", "ⅼ"), ("-", "‐"), ("・", "·"), ("—", "―"), ("○", "〇"), ("a", "ɑ"), ("v", "ѵ"), ("VIII", "Ⅷ"), ("fi", "ﬁ"), ("∶", ":")]
+DIFFERENT = [("1", "l"), ("I", "l"), ("0", "O"), ("m", "rn"), ("“", "”"), ("〔", "("), ("ǎ", "ă"), ("土", "士"), ("A", "𝐀"), ("絶", "絕"), ("—", "一"), ('"', "''"), ("1", "⑴"), ("1", "①"), ("1", "¹"), ("e", "è"), ("è", "ē"), ("鄰", "隣"), ("，", "。"), ("ab", "a b"), ("a", "A"), ("|", "¦"), ("来", "來"), ("カ", "ガ")]
+
+
+@pytest.fixture(scope="module")
+def look(spark):
+    return L.Look(L.prototypes(spark))
 
 
 @pytest.mark.parametrize(("a", "b"), SAME)
-def test_same_look(a, b):
-    assert L.skeleton(a) == L.skeleton(b)
+def test_same_look(look, a, b):
+    assert look.skeleton(a) == look.skeleton(b)
 
 
 @pytest.mark.parametrize(("a", "b"), DIFFERENT)
-def test_different_look(a, b):
-    assert L.skeleton(a) != L.skeleton(b)
+def test_different_look(look, a, b):
+    assert look.skeleton(a) != look.skeleton(b)
 
 
 @pytest.mark.parametrize("text", [x for p in SAME + DIFFERENT for x in p] + ["", " ​ "])
-def test_spelling_is_stable(text):
-    assert L.skeleton(L.skeleton(text)) == L.skeleton(text) == L.skeleton(L.readable(text))
+def test_spelling_is_stable(look, text):
+    assert look.skeleton(look.skeleton(text)) == look.skeleton(text) == look.skeleton(look.readable(text))
+
+
+def test_every_character_is_spelt_stably(look):
+    for p in range(0x21, 0x110000):
+        if not 0xD800 <= p < 0xE000 and look.skeleton(chr(p)) != chr(p):
+            once = look.skeleton(f"x{chr(p)}x")
+            assert look.skeleton(once) == once, hex(p)
 
 
 def test_pairs_and_spelling(spark, rows):
@@ -76,10 +89,10 @@ SCHEMA = "rec_id long, title string, paragraphs array<string>, pairs string, cla
 
 
 def brute(records, least=0.5):
-    sets = {}
+    sets, look = {}, L.Look({})  # these texts hold no look-alikes
     for i, t, p in records:
-        if i is not None and p and any(L.skeleton(e or "") for e in p):
-            s = versions.bare(t, p)
+        if i is not None and p and any(look.skeleton(e or "") for e in p):
+            s = versions.bare(look, t, p)
             sets[i] = {s[k : k + 2] for k in range(len(s) - 1)}
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
 
@@ -169,6 +182,26 @@ def test_short_versions(spark, rows):
 
 
 @pytest.mark.parametrize(("a", "b"), [("⺅⺡⻄⻢⻳", "亻氵西马龟"), ("⻏⻖", "阝阝"), ("yuɑnɡ", "yuang"), ("ɑ̄", "ā"), ("Ӏӏ", "Il")])
-def test_radicals_supplement_and_latin_letters(a, b):
-    assert L.skeleton(a) == L.skeleton(b) and L.readable(a) == b
-    assert L.skeleton(L.skeleton(a)) == L.skeleton(a)
+def test_radicals_supplement_and_latin_letters(look, a, b):
+    assert look.skeleton(a) == look.skeleton(b) and look.readable(a) == b
+    assert look.skeleton(look.skeleton(a)) == look.skeleton(a)
+
+
+@pytest.mark.parametrize("group", [2, 7])
+def test_a_frequent_pair_is_split_into_chunks(spark, group):
+    """All texts share their beginning; with groups this small every key is split."""
+    records = [(i, None, ["甲乙丙丁" + "".join(map(chr, random.Random(i // 3).sample(range(0x4E00, 0x9F00), 6))) + "春夏秋冬"[i % 3 : i % 3 + 2]]) for i in range(60)]
+    expected = brute(records)
+    sets = versions.text_sets(spark.createDataFrame([(*r, "x", 1) for r in records], SCHEMA))
+    members, links = versions.similar_classes(sets, 0.5, group)
+    got = [tuple(r) for r in links.collect()]
+    assert members.count() == 60 and len(got) == len(set(got)) and set(got) == expected
+
+
+def test_expanded_pairs(spark):
+    members = [("a", i) for i in range(30)] + [("b", i) for i in range(100, 150)] + [("c", 7000)]
+    df = spark.createDataFrame(members, "group string, rec_id long")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "a"), ("b", "c"), ("c", "c")], "a string, b string")
+    got = [tuple(r) for r in expand.expand_pairs(pairs, df, chunk=8).collect()]
+    expected = set(itertools.combinations(range(30), 2)) | set(itertools.product(range(30), range(100, 150))) | {(i, 7000) for i in range(100, 150)}
+    assert len(got) == len(set(got)) and set(got) == expected
