@@ -34,7 +34,7 @@ SHARDS_A_TASK = 32
 GROUP = 4096
 #: Pairs that a task holds before it passes them on.
 _MOST_HELD = 1 << 20
-#: Rows of a block of sets.
+#: Rows of a block of sets, at most 16,384.
 _ROWS = 1 << 13
 #: Words of 64 bits of a set's bitmap.
 _WORDS = 4
@@ -44,9 +44,20 @@ _ENTRY = np.dtype([("key", "u4"), ("size", "i4"), ("left", "i4"), ("class", "i8"
 _SLACK = 1e-6
 
 
+class _Kept(dict):
+    """Translation table that leaves letters, ideographs and digits."""
+
+    def __missing__(self, p: int) -> int | None:
+        self[p] = p if chr(p).isalnum() else None
+        return self[p]
+
+
+_KEPT = _Kept()
+
+
 def bare(look: Look, title: str | None, paragraphs: list[str | None]) -> str:
     """Letters, ideographs and digits of title and elements in the consistent spelling."""
-    return "".join(c for c in look.readable("\n".join([title or "", *(e or "" for e in paragraphs)])) if c.isalnum())
+    return look.readable("\n".join([title or "", *(e or "" for e in paragraphs)])).translate(_KEPT)
 
 
 def pair_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +70,8 @@ def pair_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         p = points[ends[k] - lengths[k] : ends[min(k + _ROWS, len(texts)) - 1]].astype(np.int64)
         row = np.repeat(np.arange(len(own)), own)
         inside = row[:-1] == row[1:]
-        code = np.unique((row[:-1] << 42 | p[:-1] << 21 | p[1:])[inside])
+        code = np.sort((row[:-1] << 42 | p[:-1] << 21 | p[1:])[inside])
+        code = code[np.diff(code, prepend=-1) != 0]
         codes.append(code & (1 << 42) - 1)
         counts.append(np.bincount(code >> 42, minlength=len(own)))
     return (np.concatenate(codes), np.concatenate(counts)) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -132,34 +144,41 @@ def _chunked(h: np.ndarray, entries: np.ndarray, chunks: np.ndarray) -> tuple[np
 def _keys(shards: int, frequency, least: float, group: int):
     """The first pairs of every set, as (shard, entries): a row holds a block's entries of one shard."""
 
+    def block(who: np.ndarray, texts: list[str], often: np.ndarray, ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        codes, count = pair_sets(texts)
+        if not len(codes):
+            return
+        h = mix(codes.view(np.uint64))
+        first, row = starts_of(count), np.repeat(np.arange(len(who)), count)
+        bit = np.uint64(1) << (h & np.uint64(63))
+        word = h >> np.uint64(6) & np.uint64(_WORDS - 1)
+        maps = np.stack([np.bitwise_or.reduceat(np.where(word == w, bit, np.uint64(0)), first) for w in range(_WORDS)], 1)
+        # One order of all pairs, the rarer ones first: a rank of the frequency, then the pair itself; the record stands before both.
+        ordered = np.sort(row.astype(np.uint64) << np.uint64(50) | ranks[_bucket(h)] << np.uint64(42) | codes.view(np.uint64))
+        h = mix(ordered & np.uint64((1 << 42) - 1))
+        left = (first + count)[row] - np.arange(len(h))
+        kept = left >= np.ceil(least * count - _SLACK)[row]
+        h, row, left = h[kept], row[kept], left[kept]
+        entries = np.zeros(len(h), _ENTRY)
+        entries["key"] = h >> np.uint64(32)  # a chance meeting of equal halves fails the exact check
+        entries["size"], entries["left"], entries["class"], entries["map"], entries["side"] = count[row], left, who[row], maps[row], 2
+        h, entries = _chunked(h, entries, -(-often[_bucket(h)].astype(np.int64) // group))
+        shard = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int32)
+        order = np.argsort(shard.astype(np.uint64) << np.uint64(32) | entries["key"])
+        shard, entries = shard[order], entries[order]
+        begin = group_starts(shard)
+        end = np.append(begin[1:], len(shard))
+        columns = [np.ascontiguousarray(entries[n]) for n in _ENTRY.names]  # field by field, so that like bytes lie together
+        packed = [b"".join(c[i:j].tobytes() for c in columns) for i, j in zip(begin, end, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(shard[begin]), pa.array(packed, pa.binary())], names=["shard", "entries"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequency.value
+        ranks = np.minimum(16 * np.log2(1 + often.astype(np.float64)), 255).astype(np.uint64)
         for b in batches:
-            who = b.column("class").to_numpy()
-            codes, count = pair_sets(b.column("bare").to_pylist())
-            if not len(codes):
-                continue
-            h = mix(codes.view(np.uint64))
-            first, row = starts_of(count), np.repeat(np.arange(len(who)), count)
-            bit = np.uint64(1) << (h & np.uint64(63))
-            word = h >> np.uint64(6) & np.uint64(_WORDS - 1)
-            maps = np.stack([np.bitwise_or.reduceat(np.where(word == w, bit, np.uint64(0)), first) for w in range(_WORDS)], 1)
-            h = h[np.lexsort((h, often[_bucket(h)], row))]
-            left = (first + count)[row] - np.arange(len(h))
-            kept = left >= np.ceil(least * count - _SLACK)[row]
-            h, row, left = h[kept], row[kept], left[kept]
-            entries = np.zeros(len(h), _ENTRY)
-            entries["key"] = h >> np.uint64(32)  # a chance meeting of equal halves fails the exact check
-            entries["size"], entries["left"], entries["class"], entries["map"], entries["side"] = count[row], left, who[row], maps[row], 2
-            h, entries = _chunked(h, entries, -(-often[_bucket(h)].astype(np.int64) // group))
-            shard = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int32)
-            order = np.lexsort((entries["key"], shard))
-            shard, entries = shard[order], entries[order]
-            begin = group_starts(shard)
-            end = np.append(begin[1:], len(shard))
-            # Field by field, so that like bytes lie together.
-            packed = [b"".join(np.ascontiguousarray(entries[i:j][n]).tobytes() for n in _ENTRY.names) for i, j in zip(begin, end, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(shard[begin]), pa.array(packed, pa.binary())], names=["shard", "entries"])
+            who, texts = b.column("class").to_numpy(), b.column("bare").to_pylist()
+            for k in range(0, len(who), _ROWS):
+                yield from block(who[k : k + _ROWS], texts[k : k + _ROWS], often, ranks)
 
     return run
 
