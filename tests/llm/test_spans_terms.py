@@ -56,6 +56,43 @@ def test_random_texts(spark, seed):
     assert len(got) == len(set(got)) and set(got) == brute(records, 24)
 
 
+@pytest.fixture
+def tiny_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 3)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_groups_that_go_on_over_batches(spark, tiny_batches):
+    line = "一二三四五六七八九十甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳"
+    records = [(i, [line * 3 if i % 2 else f"第{i}首" + line, "□" * 40]) for i in range(12)] + [(100, ["x" * 30]), (101, [line[1:]])]
+    assert {tuple(r) for r in spans.shared_spans(frame(spark, records).coalesce(1)).collect()} == brute(records, 24)
+
+
+def test_repeats_are_maximal_and_verbatim(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("春夏秋冬花月風雨山水") for _ in range(n))
+    shared = [word(60) for _ in range(5)]
+    bodies = {i: word(rng.randint(0, 15)) + rng.choice(shared)[rng.randint(0, 20) :] + word(rng.randint(0, 15)) for i in range(80)}
+    found = spans.repeats(frame(spark, [(i, [b]) for i, b in bodies.items()])).collect()
+    assert found
+    for r in found:
+        a, b, s, o, n = bodies[r.rec_id], bodies[r.other_id], r.span_start, r.other_start, r.span_chars
+        assert r.rec_id != r.other_id and n >= 24 and a[s : s + n] == b[o : o + n]
+        assert s == 0 or o == 0 or a[s - 1] != b[o - 1]
+        assert s + n == len(a) or o + n == len(b) or a[s + n] != b[o + n]
+
+
+def test_extension_stops_where_characters_differ():
+    import numpy as np
+
+    points = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    assert spans.extended(points("xxabcdefyy"), points("zabcdefw"), 3, 2, 2) == [(2, 6)]
+    assert spans.extended(points("abXdefgh"), points("abYdefgh"), 0, 0, 6) == [(0, 2), (3, 5)]
+
+
 def test_edges(spark, rows):
     line = "一二三四五六七八九十甲乙丙丁戊己庚辛壬癸子丑寅卯"
     records = [(1, [line]), (2, [line]), (2, [line]), (3, [line[:23]]), (4, None), (5, []), (6, ["", None]), (None, [line]), (7, ["□" * 500]), (7, ["□" * 500]), (8, ["x" * 30 + line + "y" * 5000])]
