@@ -16,9 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .blocks import code_points
 
 #: Identifiers in one range of the count arrays.
@@ -49,9 +50,11 @@ def _counts(points: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         occurrences, presence, records = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
-        seen: set[int] = set()
+        before = None
         for b in batches:
-            new = [i for i, r in enumerate(b.column("rec_id").to_pylist()) if not (r in seen or seen.add(r))]
+            rec = b.column("rec_id").to_pylist()
+            new = [i for i, r in enumerate(rec) if r != (rec[i - 1] if i else before)]  # copies of a record follow one another
+            before = rec[-1] if rec else before
             texts = b.column("body").take(pa.array(new, pa.int64())).to_pylist()
             start = 0
             while start < len(texts):
@@ -77,6 +80,26 @@ def _counts(points: np.ndarray):
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The arrays of each range added up; a task holds one range at a time."""
+    now, held, records = None, None, 0
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([records], pa.int64())] + [pa.array([x], pa.list_(pa.int64())) for x in held], names=["range", "records", "occurrences", "presence"])
+
+    for b in batches:
+        for i, (at, more) in enumerate(zip(b.column("range").to_pylist(), b.column("records").to_pylist(), strict=True)):
+            arrays = np.stack([b.column(c).slice(i, 1).flatten().to_numpy() for c in ("occurrences", "presence")])
+            if at != now:
+                if now is not None:
+                    yield done()
+                now, held, records = at, np.zeros_like(arrays), 0
+            held += arrays
+            records += more
+    if now is not None:
+        yield done()
+
+
 def term_counts(df: DataFrame, rare_most: int = 2, common_share: float = 0.2) -> DataFrame:
     """term, term_id, occurrences, records, collection_records, mark of every character of the paragraphs.
 
@@ -92,12 +115,13 @@ def term_counts(df: DataFrame, rare_most: int = 2, common_share: float = 0.2) ->
     schema = "term string, term_id int, occurrences long, records long, collection_records long, mark string"
     if not len(points):
         return spark.createDataFrame([], schema)
-    arrays = rows.repartition("rec_id").mapInArrow(_counts(points), "range int, records long, occurrences array<long>, presence array<long>")
-    zipped = arrays.select("range", "records", F.posexplode(F.arrays_zip("occurrences", "presence")).alias("place", "v"))
-    summed = zipped.groupBy("range", "place").agg(F.sum("v.occurrences").alias("occurrences"), F.sum("v.presence").alias("records"), F.sum("records").alias("n"))
-    total = F.max("n").over(Window.partitionBy(F.lit(0)))  # one row for each term at most
+    kind = "range int, records long, occurrences array<long>, presence array<long>"
+    arrays = rows.repartition("rec_id").sortWithinPartitions("rec_id").mapInArrow(_counts(points), kind)
+    summed = cut(arrays.repartition("range").sortWithinPartitions("range").mapInArrow(_added, kind))  # a row for each range of the code space
+    whole = summed.agg(F.sum("records")).first()[0]
+    each = summed.select("range", F.posexplode(F.arrays_zip("occurrences", "presence")).alias("place", "v"))
     terms = spark.createDataFrame(pa.table({"term_id": pa.array(range(len(points)), pa.int32()), "term": [chr(p) for p in points.tolist()]}))
-    counted = summed.select((F.col("range") * RANGE + F.col("place")).alias("term_id"), "occurrences", "records", total.alias("collection_records"))
+    counted = each.select((F.col("range") * RANGE + F.col("place")).alias("term_id"), F.col("v.occurrences").alias("occurrences"), F.col("v.presence").alias("records"), F.lit(whole).alias("collection_records"))
     mark = F.when(F.col("records") <= rare_most, "rare").when(F.col("records") / F.col("collection_records") > F.lit(common_share), "common").otherwise("useful")
     return terms.join(counted, "term_id").select("term", "term_id", "occurrences", "records", "collection_records", mark.alias("mark"))
 

@@ -126,6 +126,25 @@ def test_bounded_space_closes_the_fullest():
     assert fit.put(3)[0] == 0 and len(fit.still_open()) == 2
 
 
+def test_plain_online_packing(spark):
+    """Without look-ahead and joining, the places are those of items offered one by one."""
+    df = spark.createDataFrame([(i, random.Random(i).randint(1, 50)) for i in range(700)], "doc_id long, n_tokens long")
+    out = packing.pack_sequences(df, capacity=50, most_open=8, look_ahead=0, join_open=False)
+    splits = {}
+    for r in out.collect():
+        splits.setdefault(r.seq_id >> 32, []).append(r)
+    fit = {s: packing.BestFit(50, 8) for s in splits}
+    for s, rows in splits.items():
+        assert [(r.seq_id & 0xFFFFFFFF, r.seq_offset) for r in rows] == [fit[s].put(r.n_tokens) for r in rows]
+    assert tuple(packing.packing_faults(out, df, capacity=50).first()) == (700, 0, 0, 0, 0)
+
+
+def test_faults_are_seen(spark):
+    sizes = spark.createDataFrame([(1, 5), (2, 5), (3, 20), (4, 3)], "doc_id long, n_tokens long")
+    packed = spark.createDataFrame([(1, 2, 0, 0), (1, 3, 1, 0), (2, 4, 1, 2), (3, 12, 2, 0), (3, 8, 3, 3)], "doc_id long, n_tokens long, seq_id long, seq_offset long")
+    assert tuple(packing.packing_faults(packed, sizes, capacity=10).first()) == (4, 2, 1, 2, 1)
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_packing_is_whole(spark, parts):
     rng = random.Random(4)
