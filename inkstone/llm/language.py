@@ -8,25 +8,26 @@ network trained on the other half of the sample places elsewhere are left out of
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-#: Documents in the training sample at most, and lines of one language among them.
-SAMPLE_DOCS, SAMPLE_LINES = 4000, 6000
+#: The training sample: documents at most, evenly over the languages; bytes of one of them at most; lines of one language at most.
+SAMPLE_DOCS, SAMPLE_DOC_BYTES, SAMPLE_LINES = 4000, 1 << 15, 6000
 HIDDEN = 16
 #: Weight decay of the training.
 DECAY = 0.02
 #: Batches of training: of each network that judges the sample, of the last one.
-STEPS = (400, 1000)
-#: Bytes in a window: longer lines are labelled window by window; windows of training are shorter.
-WINDOW, TRAIN_WINDOW = 256, 64
-#: Byte positions that are labelled at once.
+STEPS = (300, 1000)
+#: Bytes of a line that one step of backpropagation goes through; where they begin in a longer line is drawn anew each time.
+TRAIN_BYTES = 64
+#: Byte positions that are labelled at once, and rows; lines of more positions are labelled stretch by stretch with the states carried on.
 _POSITIONS, _ROWS = 1 << 18, 2048
 #: Stands behind the end of a line; adds nothing to a state.
 PADDING = 256
@@ -60,42 +61,46 @@ class Network:
         """
         p, n = self.p, self.hidden
         steps, rows = byte.shape
-        h = np.zeros((2, rows, n), np.float32)
-        kept = []
-        d = np.arange(2)[:, None]
+        kind = p["U"].dtype
         both = np.stack([byte, byte[::-1]], 1)
-        states = np.zeros((steps, 2, rows, n), np.float32)
+        x = p["T"][np.arange(2)[:, None], both]
+        h = np.zeros((steps + 1, 2, rows, n), kind)
+        gates, inner = np.empty((steps, 2, rows, 2 * n), kind), np.empty((steps, 2, rows, n), kind)
+        c = np.empty((steps, 2, rows, n), kind)
         for t in range(steps):
-            x, s = p["T"][d, both[t]], h @ p["U"]
-            gates = _sigmoid(x[..., : 2 * n] + s[..., : 2 * n])
-            z, r = gates[..., :n], gates[..., n:]
-            c = np.tanh(x[..., 2 * n :] + r * s[..., 2 * n :])
-            kept.append((h, s[..., 2 * n :], z, r, c))
-            h = h + z * (c - h)
-            states[t] = h
-        forward, backward = states[:, 0], states[::-1, 1]
+            s = h[t] @ p["U"]
+            gates[t] = _sigmoid(x[t, ..., : 2 * n] + s[..., : 2 * n])
+            inner[t] = s[..., 2 * n :]
+            np.tanh(x[t, ..., 2 * n :] + gates[t, ..., n:] * inner[t], out=c[t])
+            h[t + 1] = h[t] + gates[t, ..., :n] * (c[t] - h[t])
+        forward, backward = h[1:, 0], h[:0:-1, 1]
         logits = forward @ p["W"][0] + backward @ p["W"][1] + p["b"]
         e = np.exp(logits - logits.max(-1, keepdims=True))
         prob = e / e.sum(-1, keepdims=True)
         weight = mask / np.maximum(mask.sum(0), 1) / rows
         prob[:, np.arange(rows), label] -= 1
-        dl = (prob * weight[..., None]).astype(np.float32)
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["b"] = dl.sum((0, 1))
-        g["W"][0], g["W"][1] = (np.einsum("tbh,tbc->hc", s, dl, optimize=True) for s in (forward, backward))
+        dl = (prob * weight[..., None]).astype(kind)
+        g = {"b": dl.sum((0, 1)), "W": np.stack([y.reshape(-1, n).T @ dl.reshape(-1, self.classes) for y in (forward, backward)])}
         ds = np.stack([dl @ p["W"][0].T, (dl @ p["W"][1].T)[::-1]], 1)
-        carried = np.zeros((2, rows, n), np.float32)
-        drawn = np.zeros((steps, 2, rows, 3 * n), np.float32)
+        z, r = gates[..., :n], gates[..., n:]
+        # What the gradient of a state is multiplied by on its way to the candidate, the update gate and the reset gate.
+        to_c = z * (1 - c * c)
+        to_z = (c - h[:-1]) * z * (1 - z)
+        to_r = inner * r * (1 - r)
+        carried = np.zeros((2, rows, n), kind)
+        drawn, turned = np.empty((steps, 2, rows, 3 * n), kind), p["U"].transpose(0, 2, 1)
+        dss = np.empty((steps, 2, rows, 3 * n), kind)
         for t in range(steps - 1, -1, -1):
-            h, sc, z, r, c = kept[t]
             dh = ds[t] + carried
-            dac = dh * z * (1 - c * c)
-            daz = dh * (c - h) * z * (1 - z)
-            dar = dac * sc * r * (1 - r)
-            dss = np.concatenate([daz, dar, dac * r], -1)
-            g["U"] += h.transpose(0, 2, 1) @ dss
-            carried = dh * (1 - z) + dss @ p["U"].transpose(0, 2, 1)
-            drawn[t] = np.concatenate([daz, dar, dac], -1)
+            own = dss[t]
+            np.multiply(dh, to_z[t], out=own[..., :n])
+            dac = np.multiply(dh, to_c[t], out=drawn[t, ..., 2 * n :])
+            np.multiply(dac, to_r[t], out=own[..., n : 2 * n])
+            np.multiply(dac, r[t], out=own[..., 2 * n :])
+            carried = dh * (1 - z[t]) + own @ turned
+        drawn[..., : 2 * n] = dss[..., : 2 * n]
+        g["U"] = np.stack([h[:-1, k].reshape(-1, n).T @ dss[:, k].reshape(-1, 3 * n) for k in range(2)])
+        g["T"] = np.zeros_like(p["T"])
         for k in range(2):
             flat, which = drawn[:, k].reshape(-1, 3 * n), both[:, k].ravel()
             order = np.argsort(which, kind="stable")
@@ -104,55 +109,81 @@ class Network:
         g["T"][:, PADDING] = 0
         return g
 
-    def line_scores(self, data: np.ndarray, letter: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Sum over the letters of each run of bytes of the class probabilities."""
-        n, halved = self.hidden, self._halved()
+    def line_scores(self, data: np.ndarray, letter: np.ndarray, begin: np.ndarray, length: np.ndarray, positions: int = _POSITIONS) -> np.ndarray:
+        """Sum over the letters of each run of bytes of the class probabilities.
+
+        Runs of like length go together, as many as have `positions` bytes. One that is longer alone
+        is gone through in stretches: forwards for the states at their beginnings, then from the last
+        stretch to the first, the backward unit's state being carried on. The result doesn't depend
+        on the stretches.
+        """
         out = np.zeros((len(begin), self.classes))
         order = np.argsort(length, kind="stable")
         start = 0
         while start < len(order):
             widest = int(length[order[min(start + _ROWS, len(order)) - 1]])
-            own = order[start : start + max(1, min(_ROWS, _POSITIONS // max(widest, 1)))]
+            own = order[start : start + max(1, min(_ROWS, positions // max(widest, 1)))]
             start += len(own)
-            steps, rows = int(length[own].max()), len(own)
+            steps = int(length[own].max())
             if not steps:
                 continue
-            t = np.arange(steps)[:, None]
-            inside = t < length[own]
-            at = np.minimum(begin[own] + t, len(data) - 1)
-            byte = np.where(inside, data[at].astype(np.intp), PADDING)
-            logits = np.empty((steps, rows, self.classes), np.float32)
-            s, x, one, two = (np.empty((rows, w * n), np.float32) for w in (3, 3, 1, 1))
-            more = np.empty((rows, self.classes), np.float32)
-            for k, times in ((0, range(steps)), (1, range(steps - 1, -1, -1))):
-                h = np.zeros((rows, n), np.float32)
-                table, inner, outer = halved[k]
-                for i in times:
-                    table.take(byte[i], axis=0, out=x, mode="clip")
-                    np.matmul(h, inner, out=s)
-                    g, c = s[:, : 2 * n], s[:, 2 * n :]
-                    g += x[:, : 2 * n]
-                    np.tanh(g, out=g)  # gates are (1 + g) / 2; inner holds half of the candidate's weights
-                    np.add(g[:, n:], 1, out=one)
-                    c *= one
-                    c += x[:, 2 * n :]
-                    np.tanh(c, out=two)
-                    two -= h
-                    np.add(g[:, :n], 1, out=one)
-                    two *= one
-                    two *= np.float32(0.5)
-                    h += two
-                    if k == 0:
-                        np.matmul(h, outer, out=logits[i])
-                    else:
-                        logits[i] += np.matmul(h, outer, out=more)
+            cuts = list(range(0, steps, positions)) + [steps]
+            inner = np.zeros((len(own), self.hidden), np.float32)
+            states = [inner]  # of the forward unit before each stretch
+            for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
+                states.append(self._stretch(data, letter, begin[own], length[own], a, b, states[-1], None, None)[0])
+            back = inner
+            for a, b, state in zip(cuts[-2::-1], cuts[:0:-1], states[::-1], strict=True):
+                _, back = self._stretch(data, letter, begin[own], length[own], a, b, state, back, out_rows := np.zeros((len(own), self.classes)))
+                out[own] += out_rows
+        return out
+
+    def _stretch(self, data: np.ndarray, letter: np.ndarray, begin: np.ndarray, length: np.ndarray, a: int, b: int, state: np.ndarray, back: np.ndarray | None, out: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Bytes a to b of each run: the forward unit's state behind them and the backward unit's before them; with out the letters' probabilities are added to it."""
+        n, rows, steps, halved = self.hidden, len(begin), b - a, self._halved()
+        t = np.arange(a, b)[:, None]
+        inside = t < length
+        at = np.minimum(begin + t, len(data) - 1)
+        byte = np.where(inside, data[at].astype(np.intp), PADDING)
+        logits = np.empty((steps, rows, self.classes), np.float32) if out is not None else None
+        s, x, one, two = (np.empty((rows, w * n), np.float32) for w in (3, 3, 1, 1))
+        more = np.empty((rows, self.classes), np.float32)
+        ends = [state, back]
+        for k, times in ((0, range(steps)), (1, range(steps - 1, -1, -1))):
+            if k == 1 and out is None:
+                break
+            h = ends[k].copy()
+            table, inner, outer = halved[k]
+            for i in times:
+                table.take(byte[i], axis=0, out=x, mode="clip")
+                np.matmul(h, inner, out=s)
+                g, c = s[:, : 2 * n], s[:, 2 * n :]
+                g += x[:, : 2 * n]
+                np.tanh(g, out=g)  # gates are (1 + g) / 2; inner holds half of the candidate's weights
+                np.add(g[:, n:], 1, out=one)
+                c *= one
+                c += x[:, 2 * n :]
+                np.tanh(c, out=two)
+                two -= h
+                np.add(g[:, :n], 1, out=one)
+                two *= one
+                two *= np.float32(0.5)
+                h += two
+                if out is None:
+                    continue
+                if k == 0:
+                    np.matmul(h, outer, out=logits[i])
+                else:
+                    logits[i] += np.matmul(h, outer, out=more)
+            ends[k] = h
+        if out is not None:
             logits += self.p["b"]
             if max(logits.max(), -logits.min()) > 60:  # beyond that exponentials leave the range of the numbers
                 logits -= logits.max(-1, keepdims=True)
             np.exp(logits, out=logits)
             weight = (inside & letter[at]) / (logits.reshape(-1, self.classes) @ np.ones(self.classes, np.float32)).reshape(steps, rows)
-            out[own] = np.einsum("tbc,tb->bc", logits, weight)
-        return out
+            out += np.einsum("tbc,tb->bc", logits, weight)
+        return ends[0], ends[1]
 
     def _halved(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Weights with the gates' halves folded in: sigmoid(x) = (1 + tanh(x / 2)) / 2."""
@@ -160,28 +191,29 @@ class Network:
         return [(np.ascontiguousarray(self.p["T"][k] * scale), np.ascontiguousarray(self.p["U"][k] * np.float32(0.5)), np.ascontiguousarray(self.p["W"][k])) for k in range(2)]
 
 
-def fit(windows: list[bytes], masks: list[np.ndarray], labels: np.ndarray, classes: int, steps: int = 1000, rate: float = 0.02, rows: int = 64, seed: int = 0) -> Network:
-    """Train by backpropagation through time with Adam on windows of bytes."""
+def fit(lines: list[bytes], masks: list[np.ndarray], labels: np.ndarray, classes: int, steps: int = 1000, rate: float = 0.03, rows: int = 64, seed: int = 0) -> Network:
+    """Train by backpropagation through time with Adam; of a long line each step takes TRAIN_BYTES bytes from another place."""
     net = Network(classes, seed=seed)
     rng = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
-    lengths = np.array([len(w) for w in windows])
-    step, batches = 0, -(-len(windows) // rows)
+    lengths = np.array([len(w) for w in lines])
+    step, batches = 0, -(-len(lines) // rows)
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     while step < steps:
-        order = rng.permutation(len(windows))  # languages differ in length, so rows of like length would be of few languages
+        order = rng.permutation(len(lines))  # languages differ in length, so rows of like length would be of few languages
         for k in range(min(batches, steps - step)):
             own = order[k * rows : (k + 1) * rows]
-            longest = int(lengths[own].max())
+            longest = min(int(lengths[own].max()), TRAIN_BYTES)
+            begins = (rng.random(len(own)) * (np.maximum(lengths[own] - TRAIN_BYTES, 0) + 1)).astype(np.int64)
             byte = np.full((longest, len(own)), PADDING)
             mask = np.zeros((longest, len(own)), np.float32)
-            for j, i in enumerate(own):
-                w = np.frombuffer(windows[i], np.uint8)
-                byte[: len(w), j], mask[: len(w), j] = w, masks[i]
+            for j, (i, a) in enumerate(zip(own.tolist(), begins.tolist(), strict=True)):
+                w = np.frombuffer(lines[i], np.uint8)[a : a + TRAIN_BYTES]
+                byte[: len(w), j], mask[: len(w), j] = w, masks[i][a : a + TRAIN_BYTES]
             g = net.train_step(byte, mask, labels[own])
             step += 1
-            slower = rate * (1 - 0.95 * step / steps)
+            slower = rate * (1 - 0.99 * step / steps)
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             for name, v in g.items():
                 v = v * np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
@@ -216,22 +248,6 @@ def lines_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return data, letter, begin, end - begin, np.repeat(np.arange(len(texts)), per_text), total[end] - total[begin]
 
 
-def _windows(begin: np.ndarray, length: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of bytes cut into windows: line, begin, length of each."""
-    parts = np.maximum(-(-length // most), 1)
-    line = np.repeat(np.arange(len(begin)), parts)
-    k = np.arange(len(line)) - np.repeat(np.cumsum(parts) - parts, parts)
-    return line, begin[line] + k * most, np.minimum(length[line] - k * most, most)
-
-
-def score_lines(net: Network, data: np.ndarray, letter: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    line, b, n = _windows(begin, length, WINDOW)
-    scores = net.line_scores(data, letter, b, n)
-    out = np.zeros((len(begin), net.classes))
-    np.add.at(out, line, scores)
-    return out
-
-
 def label_language(names: DataFrame, label):
     """Column expression helper: the plain form of a label (see lang_name)."""
     return F.regexp_replace(F.lower(F.regexp_replace(label, r"(?U)^\s+|\s+$", "")), r"[-_].*$", "")
@@ -243,43 +259,77 @@ def with_label_language(df: DataFrame, names: DataFrame, lang: str = "lang", nam
     return df.withColumn("label_name", label_language(names, F.col(lang))).join(known, "label_name", "left").drop("label_name")
 
 
+def _sample(labelled: DataFrame, key: str, text: str, docs: int) -> list[Row]:
+    """h, t, label_lang of at most `docs` labelled documents, as many of each language as there are or as its share allows, chosen by a hash of their key."""
+    usable = labelled.where(F.col("label_lang").isNotNull())
+    counts = dict(usable.groupBy("label_lang").count().collect())  # a row for each language
+    if not counts:
+        return []
+    quota = max(1, docs // len(counts))
+    most = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(int(min(1.0, 1.5 * quota / n) * (1 << 30))))])
+    near = usable.withColumn("h", F.xxhash64(key)).where(F.pmod("h", F.lit(1 << 30)) <= most[F.col("label_lang")])
+    near = near.where(F.col(text).isNotNull() & (F.octet_length(text) <= SAMPLE_DOC_BYTES)).select("h", F.col(text).alias("t"), "label_lang")
+    rows: dict[str, list[Row]] = {}
+    for r in sorted(near.collect(), key=lambda r: (r.h, r.t)):  # one and a half times the sample, about
+        rows.setdefault(r.label_lang, []).append(r)
+    return [r for c in sorted(rows) for r in rows[c][:quota]]
+
+
+def _judge(lines: list[bytes], masks: list[np.ndarray], label: np.ndarray, half: np.ndarray, classes: int, seed: int):
+    """Which lines of each half (0, 1) a network that hasn't seen it, and can't have learned its errors by heart, places where their label does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column("id").to_pylist():
+                seen, other = np.flatnonzero(half != k), np.flatnonzero(half == k)
+                if len(seen) and len(other):
+                    net = fit([lines[i] for i in seen], [masks[i] for i in seen], label[seen], classes, steps=STEPS[0], seed=seed + k)
+                    size = np.array([len(lines[i]) for i in other])
+                    scores = net.line_scores(np.frombuffer(b"".join(lines[i] for i in other), np.uint8), np.concatenate([masks[i] for i in other]) > 0, np.cumsum(size) - size, size)
+                    other = other[scores[np.arange(len(other)), label[other]] >= 0.5 * scores.sum(1)]
+                yield pa.RecordBatch.from_arrays([pa.array(other, pa.int64())], names=["line"])
+
+    return run
+
+
+#: Networks fitted in this process, by a digest of all that went into them.
+_FITTED: dict[bytes, tuple[Network, list[str]]] = {}
+
+
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES, seed: int = 0) -> tuple[Network, list[str]] | None:
-    """Fit the network on at most sample_docs documents with a label_lang, chosen by a hash of their key; None without any."""
-    usable = labelled.where(F.col("label_lang").isNotNull() & F.col(text).isNotNull()).withColumn("h", F.xxhash64(key))
-    share = min(1.0, 1.5 * sample_docs / max(usable.count(), 1))  # so that no task sends many more than are needed
-    near = usable.where(F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30)))
-    rows = near.select("h", F.col(text).alias("t"), "label_lang").orderBy("h", "t").limit(sample_docs).collect()
+    """Fit the network on a bounded sample of documents with a label_lang; None without any.
+
+    A language that no sampled document is labelled with can't be found. The same sample gives the
+    same network, which is kept for the next call; the two that judge the sample are trained in
+    tasks side by side.
+    """
+    rows = _sample(labelled, key, text, sample_docs)
     codes = sorted({r.label_lang for r in rows})
     rng = np.random.default_rng(seed)
-    windows, masks, labels = [], [], []
+    lines, masks, labels = [], [], []
     for c, code in enumerate(codes):
         data, letter, begin, length, _, many = lines_of([r.t for r in rows if r.label_lang == code])
-        own = rng.permutation(np.flatnonzero(many > 0))[:sample_lines]
-        for i in own:
+        for i in rng.permutation(np.flatnonzero(many > 0))[:sample_lines]:
             b, n = int(begin[i]), int(length[i])
-            if n > TRAIN_WINDOW:
-                b, n = b + int(rng.integers(0, n - TRAIN_WINDOW + 1)), TRAIN_WINDOW
-            if letter[b : b + n].any():
-                windows.append(data[b : b + n].tobytes())
-                masks.append(letter[b : b + n].astype(np.float32))
-                labels.append(c)
-    if not windows:
+            lines.append(data[b : b + n].tobytes())
+            masks.append(letter[b : b + n].astype(np.float32))
+            labels.append(c)
+    if not lines:
         return None
+    digest = hashlib.blake2b(repr((codes, seed, STEPS, TRAIN_BYTES, HIDDEN, DECAY, labels)).encode())
+    for w in lines:
+        digest.update(w + b"\n")
+    if digest.digest() in _FITTED:
+        return _FITTED[digest.digest()]
     label, half = np.array(labels), rng.integers(0, 2, len(labels))
-    good = []
-    for k in (0, 1):  # each half is judged by a network that hasn't seen it, which can't have learned its errors by heart
-        seen, other = np.flatnonzero(half != k), np.flatnonzero(half == k)
-        if not len(seen) or not len(other):
-            good.append(other)
-            continue
-        net = fit([windows[i] for i in seen], [masks[i] for i in seen], label[seen], len(codes), steps=STEPS[0], seed=seed + k)
-        size = np.array([len(windows[i]) for i in other])
-        scores = net.line_scores(np.frombuffer(b"".join(windows[i] for i in other), np.uint8), np.concatenate([masks[i] for i in other]) > 0, np.cumsum(size) - size, size)
-        good.append(other[scores[np.arange(len(other)), label[other]] >= 0.5 * scores.sum(1)])
-    keep = np.sort(np.concatenate(good))
+    halves = labelled.sparkSession.range(0, 2, 1, 2).mapInArrow(_judge(lines, masks, label, half, len(codes), seed), "line long")
+    keep = np.array(sorted(r.line for r in halves.collect()), np.int64)  # numbers of sampled lines
     if not len(keep):
         keep = np.arange(len(label))
-    return fit([windows[i] for i in keep], [masks[i] for i in keep], label[keep], len(codes), steps=STEPS[1], seed=seed + 2), codes
+    net = fit([lines[i] for i in keep], [masks[i] for i in keep], label[keep], len(codes), steps=STEPS[1], seed=seed + 2)
+    if len(_FITTED) >= 8:
+        _FITTED.pop(next(iter(_FITTED)))
+    return _FITTED.setdefault(digest.digest(), (net, codes))
 
 
 _RUNS = "label_lang string, run int, runs int, first_lang string, first_line long, last_line long, lang string, confidence double, letters long, doc_lang string, doc_confidence double"
@@ -292,7 +342,7 @@ def _label(net: Network, codes: list[str], key_type: pa.DataType):
         data, letter, begin, length, whose, many = lines_of(texts)
         line_no = np.arange(len(whose)) - np.searchsorted(whose, whose, side="left")
         own = np.flatnonzero(many > 0)
-        scores = score_lines(net, data, letter, begin[own], length[own])
+        scores = net.line_scores(data, letter, begin[own], length[own])
         doc, no, best = whose[own], line_no[own], scores.argmax(1)
         new = np.ones(len(own), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (best[1:] != best[:-1])

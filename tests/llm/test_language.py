@@ -79,6 +79,23 @@ def test_scores_equal_the_plain_recurrence():
         assert np.allclose((e / e.sum(1, keepdims=True))[x != ord(" ")].sum(0), scores, rtol=1e-4)
 
 
+@pytest.mark.parametrize("positions", [1, 7, 64, 100, 1000])
+def test_scores_dont_depend_on_the_stretches(positions):
+    net, rng = L.Network(3, seed=2), np.random.default_rng(1)
+    size = np.array([0, 1, 5, 63, 64, 65, 300])
+    data, letter = rng.integers(97, 123, size.sum()).astype(np.uint8), rng.random(size.sum()) < 0.8
+    whole = net.line_scores(data, letter, np.cumsum(size) - size, size)
+    assert np.allclose(net.line_scores(data, letter, np.cumsum(size) - size, size, positions), whole, rtol=1e-4, atol=1e-5)
+
+
+def test_a_network_is_fitted_once(tables, monkeypatch):
+    df, names, _ = tables
+    rows = L.with_label_language(df.select("doc_id", "text", "lang"), names)
+    first = L.train(rows)
+    monkeypatch.setattr(L, "fit", None)
+    assert L.train(rows) is first
+
+
 NAMES = [("en", "en"), ("english", "en"), ("de", "de"), ("zh", "zh"), ("ru", "ru"), (None, "xx")]
 SCHEMA = "doc_id long, text string, lang string, label_lang string, run int"
 
@@ -118,7 +135,7 @@ def test_held_out_lines(tables):
     data, letter, begin, length, _, many = L.lines_of([t for _, t in train])
     net = L.fit([data[b : b + n].tobytes() for b, n in zip(begin, length, strict=True)], [letter[b : b + n].astype(np.float32) for b, n in zip(begin, length, strict=True)], np.array([langs.index(x) for x, _ in train]), 4, steps=500)
     data, letter, begin, length, _, many = L.lines_of([t for _, t in test])
-    scores = L.score_lines(net, data, letter, begin, length)
+    scores = net.line_scores(data, letter, begin, length)
     assert np.mean(scores.argmax(1) == [langs.index(x) for x, _ in test]) >= 0.98
     assert np.allclose(scores.sum(1), many, rtol=1e-3)
 
