@@ -72,6 +72,19 @@ def escape_newlines(text: Column) -> Column:
     return F.replace(text, F.lit("\n"), F.lit("\\n"))
 
 
+def quoted(text: Column) -> Column:
+    """A text in quotes with its unprintable characters escaped, as Python shows a string."""
+    mark = F.when(F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"')), '"').otherwise("'")
+
+    def shown(c: Column) -> Column:
+        code = F.lower(F.hex(F.ascii(c)))
+        odd = F.when(F.ascii(c) < 256, F.concat(F.lit("\\x"), F.lpad(code, 2, "0"))).when(F.ascii(c) < 65536, F.concat(F.lit("\\u"), F.lpad(code, 4, "0"))).otherwise(F.concat(F.lit("\\U"), F.lpad(code, 8, "0")))
+        plain = F.when(c == "\\", "\\\\").when(c == "\n", "\\n").when(c == "\r", "\\r").when(c == "\t", "\\t").when((c == "'") & (mark == "'"), "\\'")
+        return plain.when(c.rlike(r"^[\p{C}\p{Z}]$") & (c != " "), odd).otherwise(c)
+
+    return F.concat(mark, F.array_join(F.transform(characters(text), shown), ""), mark)
+
+
 def url_component(text: Column) -> Column:
     """Percent encoding that leaves letters, digits and - _ . ! ~ * ' ( ) as they are."""
     out = F.url_encode(text)

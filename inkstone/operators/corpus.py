@@ -61,21 +61,34 @@ def corpus_blocks(df: DataFrame, length: int, key: str = "doc_id", text: str = "
     return parts.groupBy("block").agg(joined.alias("text"))  # at most `length` characters a group
 
 
-def windows(blocks: DataFrame, starts: DataFrame, length: int) -> DataFrame:
+def windows(df: DataFrame, starts: DataFrame, length: int, key: str = "doc_id", text: str = "text", separator: str = "\n\n", stretch: int = 1 << 16) -> DataFrame:
     """starts with x = corpus[start : start + length] and y shifted by one; starts whose window isn't whole are dropped.
 
-    blocks come from corpus_blocks with the same length, starts has a column start. A window lies
-    in two neighbouring blocks, which an equi-join on the block number finds.
+    The corpus is the documents in key order joined by the separator; starts has a distinct column
+    start. Places and windows meet on the number of the stretch of the corpus they lie in, with sizes
+    only; then only documents that hold a piece of some window give their texts, and only the pieces
+    are shuffled.
     """
-    need = starts.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_k")).withColumn("block", F.floor(F.col("start") / length) + F.col("_k"))
-    met = need.join(blocks, "block")
-    names = starts.columns
-    both = met.groupBy(*names).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "").alias("_t"))
-    at = (F.col("start") % length + 1).cast("int")
-    out = both.withColumns({"x": F.substring("_t", at, F.lit(length)), "y": F.substring("_t", at + 1, F.lit(length))}).drop("_t")
-    return out.where(F.length("y") == length)
-
-
-def train_val_split(df: DataFrame, position: str, total: int, val_share: float = 0.1) -> DataFrame:
-    """df with split: 'train' for positions below total * (1 - share), truncated, 'val' from there on."""
-    return df.withColumn("split", F.when(F.col(position) < int(total * (1 - val_share)), "train").otherwise("val"))
+    has = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    last = has.agg(F.max("_key")).first()[0]
+    size = F.length("_text") + F.when(F.col("_key") == F.lit(last), 0).otherwise(len(separator))
+    placed = offsets(has, "_key", size).where("size > 0").select("_key", F.col("start").alias("_from"), "size")
+    spread = lambda a, n: F.explode(F.sequence(F.floor(a / stretch), F.floor((a + n - 1) / stretch)))
+    places = placed.withColumn("_stretch", spread(F.col("_from"), F.col("size")))
+    wanted = starts.where("start >= 0").withColumn("_stretch", spread(F.col("start"), F.lit(length + 1)))
+    met = wanted.join(places, "_stretch").where((F.col("start") < F.col("_from") + F.col("size")) & (F.col("start") + length + 1 > F.col("_from"))).drop("_stretch").distinct()
+    begin = F.greatest(F.col("start") - F.col("_from"), F.lit(0))
+    end = F.least(F.col("start") + length + 1 - F.col("_from"), F.col("size"))
+    whole = F.concat("_text", F.when(F.col("_key") == F.lit(last), "").otherwise(separator))
+    pieces = met.join(has, "_key").select(*starts.columns, (F.col("_from") + begin).alias("_at"), F.substring(whole, (begin + 1).cast("int"), (end - begin).cast("int")).alias("_piece"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_piece"))), lambda p: p["_piece"]), "")
+    both = pieces.groupBy(*starts.columns).agg(joined.alias("_t"))  # length + 1 characters a group
+    out = both.withColumns({"x": F.substring("_t", 1, length), "y": F.substring("_t", 2, length)})
+    return out.where(F.length("_t") == length + 1).drop("_t")
+
+
+def split_sizes(placed: DataFrame, total: int, val_share: float = 0.1) -> DataFrame:
+    """placed (see offsets) with the characters of each document before and behind the place that parts training from validation, total * (1 - share) truncated."""
+    at = F.lit(int(total * (1 - val_share)))
+    train = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), at - F.col("start")))
+    return placed.withColumn("train_chars", train).withColumn("val_chars", F.col("size") - F.col("train_chars"))

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is worked out once, however often body uses it."""
@@ -87,6 +89,5 @@ def compare_settings(df: DataFrame, logits: str, settings: Sequence[tuple[str, f
 def report(title: Column, path: Column, step: Column, prompt: Column, n: Column, text: Column, temperature: Column, k: Column) -> Column:
     """Report on a generated text; lines without a value (temperature, k) are left out."""
     line = lambda name, c: F.concat(F.lit(f"{name}: "), c.cast("string"))
-    quoted = F.concat(F.lit("'"), F.replace(prompt, F.lit("\n"), F.lit("\\n")), F.lit("'"))
     head = F.concat(F.lit("=== "), title, F.lit(" ==="))
-    return F.concat_ws("\n", head, line("Checkpoint", path), line("Checkpoint step", step), line("Prompt", quoted), line("Max new chars", n), line("Temperature", temperature), line("Top-k", k), F.lit(""), F.lit("=== Generated text ==="), text, F.lit(""))
+    return F.concat_ws("\n", head, line("Checkpoint", path), line("Checkpoint step", step), line("Prompt", T.quoted(prompt)), line("Max new chars", n), line("Temperature", temperature), line("Top-k", k), F.lit(""), F.lit("=== Generated text ==="), text, F.lit(""))

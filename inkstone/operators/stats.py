@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 
 
-def corpus_basics(df: DataFrame, text: str = "text") -> DataFrame:
+def corpus_basics(df: DataFrame, text: str = "text", raw: str | None = None) -> DataFrame:
     """One row: bytes, poems, lines (non-blank), chars (of the lines), lines_per_poem, chars_per_line; averages are 0 without poems or lines.
 
-    Each row of df is a piece of the corpus; null texts count as empty. Averages are unrounded.
+    Each row of df is a piece of the corpus; null texts count as empty. bytes are those of column
+    raw, the text as it lies on disk, where line ends may be of another kind. Averages are unrounded.
     """
-    ps = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).select("t", T.poems(F.col("t")).alias("p"))
+    ps = df.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(F.col(raw or text), F.lit("")).alias("r")).select("r", T.poems(F.col("t")).alias("p"))
     ls = F.flatten(F.transform("p", T.lines))
-    n = ps.select(T.utf8_size(F.col("t")).alias("b"), F.size("p").alias("n"), ls.alias("l"))
+    n = ps.select(T.utf8_size(F.col("r")).alias("b"), F.size("p").alias("n"), ls.alias("l"))
     n = n.select("b", "n", F.size("l").alias("m"), F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("c"))
     out = n.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name) for c, name in (("b", "bytes"), ("n", "poems"), ("m", "lines"), ("c", "chars"))])
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
@@ -67,6 +69,22 @@ def export_summary(df: DataFrame, source: str = "source_file", paragraphs: str =
     return g.select(F.col("s").alias(source), "is_total", "scanned", "exported", (F.col("scanned") - F.col("exported")).alias("skipped"))
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame:
+    """df with its place (from 0) in the given order, which is to be one of distinct values.
+
+    The rows are sorted by ranges; one number for each range passes through the driver.
+    """
+    ranged = cut(df.orderBy(*order)).withColumn("_part", F.spark_partition_id())
+    totals = sorted(tuple(r) for r in ranged.groupBy("_part").count().collect())
+    bases, base = [], 0
+    for part, n in totals:
+        bases.append((part, base))
+        base += n
+    known = df.sparkSession.createDataFrame(bases, "_part int, _base long")
+    w = Window.partitionBy("_part").orderBy(*order)
+    return ranged.withColumn("_within", F.row_number().over(w) - 1).join(F.broadcast(known), "_part").select(*df.columns, (F.col("_base") + F.col("_within")).alias(name))  # a row for each range
+
+
 def first_n(df: DataFrame, position: str, n: int) -> DataFrame:
     """Rows at the first n positions."""
     return df.where(F.col(position) < n)

@@ -85,13 +85,26 @@ def vocab_artefact(vocab: DataFrame, input_file: str) -> DataFrame:
     return row.select(F.lit(input_file).alias("input_file"), "vocab_size", stoi.alias("stoi"), itos.alias("itos"))
 
 
-def bigram_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """x, y, n: how often character y follows character x within a text."""
-    c = df.select(T.characters(F.col(text)).alias("c"))
+def bigram_counts(df: DataFrame, text: str = "text", key: str = "doc_id", separator: str = "\n\n") -> DataFrame:
+    """x, y, n: how often character y follows character x in the corpus, the documents in key order joined by the separator.
+
+    A document brings the separator behind it (but for the last) and the separator's last character
+    before it (but for the first), so every pair of the corpus lies in one document's piece.
+    """
+    has = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    ends = has.agg(F.min("k").alias("first"), F.max("k").alias("last")).first()
+    piece = F.concat(F.when(F.col("k") == F.lit(ends.first), "").otherwise(separator[-1:]), "t", F.when(F.col("k") == F.lit(ends.last), "").otherwise(separator)) if ends.first is not None else F.col("t")
+    c = has.select(T.characters(piece).alias("c"))
     pairs = c.select(F.explode(F.arrays_zip(F.slice("c", F.lit(1), F.greatest(F.size("c") - 1, F.lit(0))).alias("x"), F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(0))).alias("y"))).alias("p"))
     return pairs.select("p.x", "p.y").groupBy("x", "y").agg(F.count("*").alias("n"))
 
 
+def unknown_characters(df: DataFrame, vocab: DataFrame, text: str = "text") -> DataFrame:
+    """ch, n: the characters that a strict encoding would stop at, and how often they occur."""
+    chars = df.select(F.explode(T.characters(F.col(text))).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
+    return chars.join(vocab.select("ch"), "ch", "left_anti")
+
+
 def batch_starts(n: int, length: int, batch: int, batches: int, seed: int = 42, rng: random.Random | None = None) -> list[tuple[int, int, int]]:
     """(batch number, row, start): starts drawn uniformly from 0..n-length-1 with replacement, reproducibly."""
     if n - length - 1 <= 0:

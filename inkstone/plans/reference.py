@@ -34,7 +34,7 @@ EXCLUDED = ("northkiln_commentary_1", "lampwell_export_3")
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", "source", T.unix_newlines(F.coalesce("text", F.lit(""))).alias("text"))
+    return table(s, d, "documents").select("doc_id", "source", T.unix_newlines(F.coalesce("text", F.lit(""))).alias("text"), F.col("text").alias("raw"))
 
 
 def _poems(s: SparkSession, d: str) -> DataFrame:
@@ -143,14 +143,14 @@ def _total(s: SparkSession, d: str) -> int:
 def _windows(s: SparkSession, d: str) -> DataFrame:
     starts = V.batch_starts(_total(s, d), CONTEXT, BATCH, BATCHES)
     frame = s.createDataFrame(starts, "batch int, row int, start long")
-    return C.windows(C.corpus_blocks(_docs(s, d), CONTEXT), frame, CONTEXT)
+    return C.windows(_docs(s, d), frame, CONTEXT)
 
 
 def _grid(s: SparkSession, d: str) -> DataFrame:
     """Windows at 100 starts spread evenly over the corpus."""
     last = _total(s, d) - CONTEXT - 1
     starts = s.range(100).select((F.col("id") * last / 99).cast("long").alias("start")).distinct()
-    return C.windows(C.corpus_blocks(_docs(s, d), CONTEXT), starts, CONTEXT)
+    return C.windows(_docs(s, d), starts, CONTEXT)
 
 
 def _cover(s: SparkSession, d: str) -> DataFrame:
@@ -164,11 +164,8 @@ def _cover(s: SparkSession, d: str) -> DataFrame:
 
 def _split(s: SparkSession, d: str) -> DataFrame:
     """Characters of each document in the training and in the validation part of the corpus."""
-    total = _total(s, d)
-    at = int(total * (1 - 0.1))
-    o = C.offsets(_docs(s, d), "doc_id", F.length("text"), 2)
-    train = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.lit(at) - F.col("start")))
-    return o.select("doc_id", F.col("start").alias("doc_start"), train.alias("train_chars"), (F.col("size") - train).alias("val_chars"))
+    placed = C.offsets(_docs(s, d), "doc_id", F.length("text"), 2)
+    return C.split_sizes(placed, _total(s, d)).select("doc_id", F.col("start").alias("doc_start"), "train_chars", "val_chars")
 
 
 def _argmax(s: SparkSession, d: str) -> DataFrame:
@@ -220,15 +217,6 @@ def _generated(s: SparkSession, d: str) -> DataFrame:
     return V.decode(new, vocab, key="doc").select("doc.doc_id", "doc.n_ids", F.col("text").alias("generated"))
 
 
-def _dataset_lines(s: SparkSession, d: str) -> DataFrame:
-    """Lines of ci and tang_poem one after the other, without those of excluded files."""
-    out = None
-    for k, (name, df) in enumerate((("ci", _ci(s, d)), ("tang_poem", _poems(s, d)))):
-        part = without(df, "source_file", ("ci.song.1000.json",)).select(F.lit(k).alias("target_pos"), F.lit(name).alias("dataset"), "rec_id", F.posexplode("paragraphs").alias("line_pos", "line"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("target_pos", "dataset", "rec_id").agg(F.count("*").alias("n_lines"), F.sum(F.coalesce(F.length("line"), F.lit(0))).alias("n_chars"))
-
-
 def _catalog(s: SparkSession, d: str) -> DataFrame:
     """The catalog in order of its numbers, as the loader sees it."""
     c = Catalog.from_table(table(s, d, "dataset_catalog"))
@@ -249,7 +237,7 @@ def _first(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     first = lambda df: df.select(*[c for c in df.columns if c != "first"])
     return {
-        "corpus_basic_stats": lambda s, d: S.corpus_basics(_docs(s, d)),
+        "corpus_basic_stats": lambda s, d: S.corpus_basics(_docs(s, d), raw="raw"),
         "lines_per_poem_dist": lambda s, d: first(S.lines_per_poem(_docs(s, d))),
         "lines_per_poem_top10": lambda s, d: first(S.top_n(S.lines_per_poem(_docs(s, d)), 10)),
         "line_length_top15": lambda s, d: first(S.top_n(S.line_lengths(_docs(s, d)), 15)),
@@ -306,7 +294,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "decode_reports": _reports,
         "cross_entropy": _loss,
         "generate": _generated,
-        "dataset_lines": _dataset_lines,
         "dataset_union_exclude": lambda s, d: without(table(s, d, "documents"), "source", EXCLUDED).select("doc_id", "source"),
         "catalog_order": _catalog,
     }
@@ -391,7 +378,7 @@ def oracle_sql() -> dict[str, str]:
         ]
     )
     return {
-        "corpus_basic_stats": f"""WITH {_PIECES}, n AS (SELECT (SELECT sum(strlen(text))::BIGINT FROM (SELECT coalesce(text, '') AS text FROM docs)) AS bytes, count(*) AS poems, coalesce(sum(len(ls)), 0)::BIGINT AS lines,
+        "corpus_basic_stats": f"""WITH {_PIECES}, n AS (SELECT (SELECT coalesce(sum(strlen(text)), 0)::BIGINT FROM documents) AS bytes, count(*) AS poems, coalesce(sum(len(ls)), 0)::BIGINT AS lines,
             coalesce(sum(list_sum(list_transform(ls, lambda l: length(l)))), 0)::BIGINT AS chars FROM pieces)
             SELECT *, CASE WHEN poems = 0 THEN 0 ELSE lines / poems::DOUBLE END AS lines_per_poem, CASE WHEN lines = 0 THEN 0 ELSE chars / lines::DOUBLE END AS chars_per_line FROM n""",
         "lines_per_poem_dist": f"WITH {_PIECES} SELECT len(ls) AS n_lines, count(*) AS freq FROM pieces GROUP BY ALL",
@@ -422,7 +409,8 @@ def oracle_sql() -> dict[str, str]:
         "encode_docs": f"WITH {_CHARS} SELECT doc_id, coalesce(string_agg(id::VARCHAR, ' ' ORDER BY i), '') AS ids FROM docs LEFT JOIN (SELECT doc_id, i, id FROM chars JOIN vocab USING (ch)) USING (doc_id) GROUP BY doc_id",
         "decode_docs": f"WITH {_DOCS} SELECT doc_id, text FROM docs",
         "train_val_split": f"WITH {_PLACED}, cutoff AS (SELECT floor(n * (1 - 0.1::DOUBLE))::BIGINT AS k FROM total), v AS (SELECT doc_id, start::BIGINT AS doc_start, size, greatest(0, least(size, k - start))::BIGINT AS t FROM placed, cutoff) SELECT doc_id, doc_start, t AS train_chars, size - t AS val_chars FROM v",
-        "bigram_counts": f"WITH {_DOCS}, p AS (SELECT text, unnest(range(1, length(text))) AS i FROM docs WHERE length(text) > 1) SELECT substring(text, i, 1) AS x, substring(text, i + 1, 1) AS y, count(*) AS n FROM p GROUP BY ALL",
+        "bigram_counts": f"""WITH {_DOCS}, c AS (SELECT string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS t FROM docs), chars AS (SELECT unnest(string_split(t, '')) AS x, unnest(range(length(t))) AS i FROM c),
+            p AS (SELECT x, lead(x) OVER (ORDER BY i) AS y FROM chars) SELECT x, y, count(*) AS n FROM p WHERE y IS NOT NULL GROUP BY ALL""",
         "window_grid": f"""WITH {_DOCS}, c AS (SELECT string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS t FROM docs), n AS (SELECT t, length(t) - {CONTEXT} - 1 AS last FROM c),
             g AS (SELECT DISTINCT t, floor(k * last / 99)::BIGINT AS start FROM n, range(100) r(k)) SELECT start, substring(t, start + 1, {CONTEXT}) AS x, substring(t, start + 2, {CONTEXT}) AS y FROM g""",
         "window_cover": f"""WITH {_DOCS}, c AS (SELECT string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS t FROM docs), chars AS (SELECT unnest(string_split(t, '')) AS ch, unnest(range(length(t))) AS pos FROM c),
@@ -466,8 +454,6 @@ def oracle_sql() -> dict[str, str]:
             || CASE WHEN vec_id % 2 = 1 THEN 'Temperature: 0.8' || chr(10) || 'Top-k: 20' || chr(10) ELSE '' END || chr(10) || '=== Generated text ===' || chr(10) || (list_position(embedding, list_max(embedding)) - 1) || chr(10) AS report FROM embeddings""",
         "cross_entropy": f"""WITH {_LOGITS}, t AS (SELECT vec_id, label, max(v) AS m FROM logits GROUP BY ALL), z AS (SELECT vec_id, label, ln(sum(exp(v - m))) + any_value(m) - max(v) FILTER (WHERE id = label) AS loss FROM logits JOIN t USING (vec_id, label) GROUP BY vec_id, label)
             SELECT round(avg(a), 9) AS avg_loss FROM (SELECT label, avg(loss) AS a FROM z GROUP BY label)""",
-        "dataset_lines": f"""WITH {_CI}, {_POEMS}, l AS (SELECT 0 AS target_pos, 'ci' AS dataset, rec_id, unnest(paragraphs) AS line FROM cis WHERE source_file IS DISTINCT FROM 'ci.song.1000.json' UNION ALL SELECT 1, 'tang_poem', rec_id, unnest(paragraphs) FROM poems)
-            SELECT target_pos, dataset, rec_id, count(*) AS n_lines, sum(coalesce(length(line), 0))::BIGINT AS n_chars FROM l GROUP BY ALL""",
         "dataset_union_exclude": f"SELECT doc_id, source FROM documents WHERE source IS NULL OR source NOT IN ({', '.join(repr(x) for x in EXCLUDED)})",
         "catalog_order": "SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS pos, name, path, tag, coalesce(len(excludes), 0)::INT AS n_excludes FROM dataset_catalog",
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -33,6 +34,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="inkstone-"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of its own within the shared folder, for tables and files that a job writes and reads again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once and keep it in the shared folder, so that a lost executor costs nothing."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text as T
 
-#: Names of the poem files, as globs and as patterns on the path.
-CI_FILES, POET_FILES = "ci.song.*.json", "poet.*.json"
+# Names of the poem files, as globs and as patterns on the path.
+CI_FILES, POET_FILES = "ci.song.*.json", "poet.song.*.json"
 CI_PATTERN, POET_PATTERN = r"ci\.song\.\d+y?\.json$", r"poet\.(song|tang)\.(\d+)\.json$"
 
 
@@ -26,7 +26,8 @@ def json_array(spark: SparkSession, folder: str, element: str = schemas.POEM, gl
 
     Files may be chosen by a glob on the name, a pattern on the whole path, and names to leave out;
     subfolders aren't entered. No match gives an empty table, not an error. A file whose text is no
-    array of objects has no records. Keys that a record lacks are null.
+    array of objects has no records. Keys that a record lacks are null. A file is read as one
+    string, so none may have more than 2 GB.
     """
     kind = f"array<struct<{', '.join(_fields(element))}>>"
     empty = spark.createDataFrame([], f"source_file string, rec_pos int, {element}")
@@ -71,12 +72,12 @@ def file_sizes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inspect(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, top (array or object), records, keys (of the first record) of each JSON file."""
+    """source_file, top (array or object), records, keys and first (a map of them to their values as text) of the first record of each JSON file."""
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("source_file"))
     top = F.when(F.btrim("value", F.lit(" \t\r\n")).startswith("["), "array").otherwise("object")
     first = F.when(top == "array", F.get_json_object("value", "$[0]")).otherwise(F.col("value"))
     n = F.when(top == "array", F.json_array_length("value")).otherwise(F.lit(1))
-    return files.select("source_file", top.alias("top"), n.alias("records"), F.json_object_keys(first).alias("keys"))
+    return files.select("source_file", top.alias("top"), n.alias("records"), F.json_object_keys(first).alias("keys"), F.from_json(first, "map<string,string>").alias("first"))
 
 
 def metric_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import METRICS
@@ -13,21 +15,50 @@ def write_corpus(df: DataFrame, path: str, order: list[str], text: str = "text",
     df.where(F.col(text).isNotNull()).orderBy(*order).select(text).write.mode(mode).option("lineSep", "\n\n").text(path)
 
 
-def corpus_string(df: DataFrame, order: list[str], text: str = "text") -> DataFrame:
-    """One row: the whole corpus as one string, for a corpus that fits in one task's memory."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t"))))
-    return df.where(F.col(text).isNotNull()).agg(F.array_join(F.transform(items, lambda x: x["_t"]), "\n\n").alias("corpus"))
-
-
 def write_records(df: DataFrame, path: str, mode: str = "error") -> None:
     """One JSON object a line; null fields are left out."""
     df.write.mode(mode).json(path)
 
 
-def json_array_text(df: DataFrame, order: list[str]) -> DataFrame:
-    """One row: the records as one JSON array in order, for results that fit in one task's memory."""
-    items = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("_o"), F.struct(*df.columns).alias("_r"))))
-    return df.agg(F.to_json(F.transform(items, lambda x: x["_r"])).alias("json"))
+def json_array_lines(df: DataFrame, order: list[str], of: list[str] | None = None) -> DataFrame:
+    """of, order, line: lines that, one below the other in order, are a JSON array of the records of each group (of all without `of`).
+
+    Each line is made by itself; of a group only the first and the last place are known to all.
+    """
+    of, place = of or [], F.struct(*order)
+    group = of or ["_g"]
+    rows = df if of else df.withColumn("_g", F.lit(0))
+    ends = rows.groupBy(*group).agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
+    marked = rows.join(ends if of else F.broadcast(ends), group)  # one row without groups
+    record = F.to_json(F.struct(*[c for c in df.columns if c not in of and c not in order]))
+    line = F.concat(F.when(place == F.col("_first"), "[").otherwise(","), record, F.when(place == F.col("_last"), "]").otherwise(""))
+    return marked.select(*of, *order, line.alias("line"))
+
+
+def write_json_array(df: DataFrame, path: str, order: list[str], mode: str = "error") -> None:
+    """The records as one JSON array in files of consecutive ranges: one behind the other they are the array. Nothing is written for an empty table but the folder."""
+    json_array_lines(df, order).orderBy(*order).select("line").write.mode(mode).text(path)
+
+
+def write_array_files(df: DataFrame, folder: str, source: str = "source_file", order: str = "rec_pos") -> None:
+    """A JSON array file for each source, of that name; the records of a source are written in order, one after the other."""
+    spark = df.sparkSession
+    lines = json_array_lines(df, [order], [source]).withColumn("_name", F.col(source))
+    lines.repartition(source).sortWithinPartitions(source, order).select("_name", "line").write.partitionBy("_name").text(folder)
+    name_files(spark, folder, "_name")
+
+
+def name_files(spark: SparkSession, folder: str, column: str) -> None:
+    """Turn the folders column=NAME, each with one file, into files NAME."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in fs.globStatus(path(f"{folder}/{column}=*/part-*")):
+        at = part.getPath()
+        name = unquote(at.getParent().getName().split("=", 1)[1])
+        if not fs.rename(at, path(f"{folder}/{name}")):
+            raise OSError(f"{name} can't be written")
+        fs.delete(at.getParent(), True)
 
 
 def write_vocab(artefact: DataFrame, path: str, mode: str = "error") -> None:

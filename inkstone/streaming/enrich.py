@@ -1,7 +1,8 @@
 """Resumable enrichment: new files are read one by one, what a memo already holds isn't computed again.
 
 The stream's checkpoint takes the place of saved cursors; each engine has a stream of its own, so
-engines advance independently and `finish` waits for all of them.
+engines advance independently and `finish` waits for all of them. Memo and state are kept as
+versions (see there): a batch adds what it brings and reads only its own keys.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.rank import memo_misses, upsert_max
+from ..operators.rank import memo_misses
+from .versions import Versions
 
 Compute = Callable[[DataFrame], DataFrame]
 
@@ -22,17 +24,16 @@ def record_stream(spark: SparkSession, folder: str, schema: str, files_at_once:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).json(folder)
 
 
-def _memo(spark: SparkSession, path: str, before: int) -> DataFrame:
-    """What the batches before the given one have computed; a batch that runs again doesn't read its own leavings."""
-    try:
-        return spark.read.schema("kd string, n bigint, batch int").parquet(path).where(F.col("batch") < before).select("kd", "n")
-    except Exception as e:  # nothing has been written yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], "kd string, n bigint")
+def _most(df: DataFrame) -> DataFrame:
+    return df.groupBy("kd").agg(F.max("n").alias("n"))
 
 
-def enrich(records: DataFrame, compute: Compute, memo_path: str, out_path: str, checkpoint: str, keep: Sequence[str]) -> StreamingQuery:
+def memo(spark: SparkSession, path: str, every: int = 16) -> Versions:
+    """The computed counts by key."""
+    return Versions(spark, path, "kd string, n bigint", _most, every, "kd")
+
+
+def enrich(records: DataFrame, compute: Compute, memo_path: str, out_path: str, checkpoint: str, keep: Sequence[str], every: int = 16) -> StreamingQuery:
     """Append records with their n to out_path; records has kd, compute turns a table of keys into (kd, n).
 
     A batch computes only keys that the memo lacks and adds them to it. Output goes into a folder
@@ -41,34 +42,43 @@ def enrich(records: DataFrame, compute: Compute, memo_path: str, out_path: str,
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
         df = df.persist()
-        memo = _memo(spark, memo_path, number)
-        fresh = compute(memo_misses(df, memo)).select("kd", "n")
-        fresh.write.mode("overwrite").parquet(f"{memo_path}/batch={number}")
-        known = _memo(spark, memo_path, number + 1).groupBy("kd").agg(F.max("n").alias("n"))
-        df.select(*keep, "kd").join(known, "kd", "left").write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        df.unpersist()
+        held = memo(df.sparkSession, memo_path, every)
+        held.compact(number)
+        known = _most(held.read(number, df)).persist()
+        fresh = compute(memo_misses(df, known)).select("kd", "n").persist()
+        held.write(number, fresh)
+        df.select(*keep, "kd").join(known.unionByName(_most(fresh)), "kd", "left").write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        for d in (fresh, known, df):
+            d.unpersist()
 
     return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def repair(updates: DataFrame, state_path: str, checkpoint: str, columns: Sequence[str], key: Sequence[str]) -> StreamingQuery:
-    """Keep a table of the largest counts seen: every batch is merged into a new version of the state."""
+def state(spark: SparkSession, path: str, columns: Sequence[str], key: Sequence[str], types: str, every: int = 16) -> Versions:
+    """The largest counts by key; types are the columns of key and counts with their types."""
+    return Versions(spark, path, types, lambda df: df.groupBy(*key).agg(*[F.max(c).alias(c) for c in columns]), every)
+
+
+def repair(updates: DataFrame, state_path: str, checkpoint: str, columns: Sequence[str], key: Sequence[str], every: int = 16) -> StreamingQuery:
+    """Keep a table of the largest counts seen: every batch adds the largest ones of its own rows; `largest` reads the table."""
+    kinds = dict(updates.dtypes)
+    types = ", ".join(f"`{c}` {kinds[c]}" for c in (*key, *columns))
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        new = df.select(*key, *columns)
-        if number:
-            old = spark.read.parquet(f"{state_path}/version={number - 1}")
-            new = upsert_max(old, new, columns, key)
-        else:
-            new = upsert_max(new, new.limit(0), columns, key)
-        new.write.mode("overwrite").parquet(f"{state_path}/version={number}")
+        held = state(df.sparkSession, state_path, columns, key, types, every)
+        held.compact(number)
+        held.write(number, held.combine(df.select(*key, *columns)))
 
     return updates.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def largest(spark: SparkSession, state_path: str, columns: Sequence[str], key: Sequence[str], types: str) -> DataFrame:
+    """The table that repair keeps."""
+    held = state(spark, state_path, columns, key, types)
+    return held.combine(held.read())
+
+
 def finish(streams: Sequence[StreamingQuery]) -> None:
     """Wait until all streams have read what there is."""
     for s in streams:

@@ -51,7 +51,7 @@ def test_catalog(spark, corpus, tmp_path, rows):
 
 def test_inspect_lists_text_csv(spark, corpus, tmp_path):
     info = {r.source_file: r for r in J.inspect(spark, str(corpus)).collect()}
-    assert info["ci.song.0.json"].records == 3 and info["ci.song.0.json"].keys == ["author", "paragraphs"] and info["ci.song.2019y.json"].records == 0
+    assert info["ci.song.0.json"].records == 3 and info["ci.song.0.json"].keys == ["author", "paragraphs"] and info["ci.song.2019y.json"].records == 0 and info["ci.song.0.json"].first == {"author": "甲", "paragraphs": '["一","二"]'}
     (tmp_path / "s.json").write_text('[["平","仄"],[]]')
     assert [r.strains for r in J.json_lists(spark, str(tmp_path / "s.json")).orderBy("rec_pos").collect()] == [["平", "仄"], []]
     (tmp_path / "c.txt").write_bytes("一\r\n二\r\n\r\n三\n\n \n\n四".encode())
@@ -66,8 +66,13 @@ def test_sinks_round_trip(spark, tmp_path, rows):
     sinks.write_corpus(df, str(tmp_path / "corpus"), ["doc_id"])
     parts = sorted((tmp_path / "corpus").glob("part-*"))
     assert "".join(p.read_text() for p in parts) == "一\n\n二\n行\n\n"
-    assert sinks.corpus_string(df, ["doc_id"]).first().corpus == "一\n\n二\n行"
-    assert json.loads(sinks.json_array_text(df, ["doc_id"]).first().json)[1] == {"doc_id": 2, "text": "二\n行"}
+    sinks.write_json_array(df, str(tmp_path / "array"), ["doc_id"])
+    text = "\n".join(p.read_text() for p in sorted((tmp_path / "array").glob("part-*")))
+    assert json.loads(text) == [{"text": "一"}, {"text": "二\n行"}, {}]
+    sinks.write_json_array(df.limit(0), str(tmp_path / "nothing"), ["doc_id"])
+    files = spark.createDataFrame([("b 1.json", 1, "y"), ("b 1.json", 0, "x"), ("a.json", 0, None)], "source_file string, rec_pos int, author string")
+    sinks.write_array_files(files, str(tmp_path / "files"))
+    assert {p.name: json.loads(p.read_text()) for p in (tmp_path / "files").glob("*.json")} == {"a.json": [{}], "b 1.json": [{"author": "x"}, {"author": "y"}]}
     sinks.write_records(df, str(tmp_path / "rec"))
     assert rows(spark.read.schema(df.schema).json(str(tmp_path / "rec"))) == rows(df)
     log = spark.createDataFrame([(1, 2.5, 3.5, None, None)], schemas.METRIC_LOG)
@@ -119,8 +124,7 @@ def test_repair_keeps_the_largest(spark, tmp_path, rows):
     def run():
         stream = E.record_stream(spark, str(src), "source_file string, rec_pos int, bing long")
         E.finish([E.repair(stream, str(tmp_path / "state"), str(tmp_path / "cp"), ["bing"], ["source_file", "rec_pos"])])
-        last = max((tmp_path / "state").glob("version=*"), key=lambda p: int(p.name.split("=")[1]))
-        return rows(spark.read.parquet(str(last)))
+        return rows(E.largest(spark, str(tmp_path / "state"), ["bing"], ["source_file", "rec_pos"], "source_file string, rec_pos int, bing long"))
 
     (src / "1.json").write_text('{"source_file":"f","rec_pos":0,"bing":5}\n{"source_file":"f","rec_pos":1,"bing":3}\n')
     assert run() == [("f", 0, 5), ("f", 1, 3)]
@@ -128,6 +132,24 @@ def test_repair_keeps_the_largest(spark, tmp_path, rows):
     assert run() == [("f", 0, 5), ("f", 1, 8)]
 
 
+@pytest.mark.parametrize("every", [1, 2, 16])
+def test_many_batches_are_put_together(spark, tmp_path, rows, every):
+    src = tmp_path / "in"
+    src.mkdir()
+    for i in range(5):
+        (src / f"{i}.json").write_text("".join(f'{{"author":"a{k}","rhythmic":"x"}}\n' for k in range(i, i + 3)))
+        stream = with_query_key(E.record_stream(spark, str(src), "author string, rhythmic string"))
+        E.finish([E.enrich(stream, lambda k: k.withColumn("n", F.length("kd").cast("long")), str(tmp_path / "memo"), str(tmp_path / "out"), str(tmp_path / "cp"), ["author"], every)])
+    assert rows(spark.read.parquet(str(tmp_path / "out")).select("author", "n")) == sorted((f"a{k}", 6) for i in range(5) for k in range(i, i + 3))
+    held = E.memo(spark, str(tmp_path / "memo"), every)
+    assert rows(held.read().select("kd")) == [(f"a{k}%20x",) for k in range(7)]  # each was computed once
+    kept = [p.name for p in (tmp_path / "memo").iterdir() if "=" in p.name]
+    assert len(kept) <= every + 1
+    asked = spark.createDataFrame([("a3%20x",), ("zz",)], "kd string")
+    assert rows(held.read(None, asked)) == [("a3%20x", 6)]
+    (src / "9.json").write_text("")
+
+
 def test_every_output_is_optional(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     sinks.write_corpus(df, str(tmp_path / "c"), ["doc_id"])

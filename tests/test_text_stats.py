@@ -1,35 +1,50 @@
-import re
+import random
 from collections import Counter
 
 import pytest
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
 from inkstone.operators import classify as K
 from inkstone.operators import corpus as C
 from inkstone.operators import stats as S
-
-ODD = ["", " ", "　花間　", "a\r\nb\rc", "𤗀𦅍\n\n\n月", "春，夏。秋！冬", "\n\n\n", "x\n\n \n\ny", "。。", "\x1c甲\x85"]
-
+from inkstone.operators import tokens as V
 
 def one(spark, column, value, kind="string"):
     return spark.createDataFrame([(value,)], f"v {kind}").select(column(F.col("v"))).first()[0]
 
 
-@pytest.mark.parametrize("s", ODD)
+# What each odd text gives: stripped, pieces between blank lines, sublines, without punctuation.
+EXPECTED = {
+    "": ("", [], [], ""),
+    " ": ("", [], [], ""),
+    "　花間　": ("花間", ["花間"], ["花間"], "　花間　"),
+    "a\r\nb\rc": ("a\r\nb\rc", ["a\nb\nc"], ["a\r\nb\rc"], "a\r\nb\rc"),
+    "𤗀𦅍\n\n\n月": ("𤗀𦅍\n\n\n月", ["𤗀𦅍", "\n月"], ["𤗀𦅍\n\n\n月"], "𤗀𦅍\n\n\n月"),
+    "春，夏。秋！冬": ("春，夏。秋！冬", ["春，夏。秋！冬"], ["春", "夏", "秋", "冬"], "春夏秋冬"),
+    "\n\n\n": ("", [], [], "\n\n\n"),
+    "x\n\n \n\ny": ("x\n\n \n\ny", ["x", "y"], ["x\n\n \n\ny"], "x\n\n\n\ny"),
+    "。。": ("。。", ["。。"], [], ""),
+    "\x1c甲\x85": ("甲", ["甲"], ["甲"], "\x1c甲\x85"),
+}
+
+
+@pytest.mark.parametrize("s", EXPECTED)
 def test_text_functions(spark, s):
-    assert one(spark, T.strip, s) == s.strip()
-    unix = s.replace("\r\n", "\n").replace("\r", "\n")
-    poems = [p for p in unix.strip().split("\n\n") if p.strip()]
+    stripped, poems, sublines, bare = EXPECTED[s]
+    assert one(spark, T.strip, s) == stripped
     assert one(spark, T.poems, s) == poems
-    assert one(spark, T.sublines, s) == [p.strip() for p in re.split(f"[{T.SPLIT_MARKS}]", s) if p.strip()]
-    assert one(spark, lambda c: T.without_punctuation(c), s) == "".join(c for c in s if c not in T.PUNCTUATION)
+    assert one(spark, T.sublines, s) == sublines
+    assert one(spark, lambda c: T.without_punctuation(c), s) == bare
     assert one(spark, T.utf8_size, s) == len(s.encode())
     assert [c for c in one(spark, T.characters, s) if c] == list(s)
 
 
+@pytest.mark.parametrize("s", ["", "a", "it's", 'say "x"', """both ' and \"""", "tab\tline\nback\\slash\r", "\x00\x1f\x7f\x85\xa0", "　春\u200b", "𤗀\U000e0001 é", "\u2028"])
+def test_quoted_like_python(spark, s):
+    assert one(spark, T.quoted, s) == repr(s)
+
+
 def test_url_component(spark):
     assert one(spark, T.url_component, "李 白~!*'()-_.&/") == "%E6%9D%8E%20%E7%99%BD~!*'()-_.%26%2F"
     assert one(spark, lambda c: T.padded(c, 6), "bing") == "  bing"
@@ -57,28 +72,47 @@ def test_export_summary_with_null_source(spark, rows):
     assert got == {("f", 0): (2, 1, 1), ("g", 0): (1, 0, 1), ("", 0): (1, 1, 0), (None, 1): (4, 2, 2)}
 
 
-PIECE = st.text("春夏秋冬，。！（）a 　", max_size=12)
-
-
-def plain_reason(paragraphs):
-    if not paragraphs:
-        return "empty_paragraphs"
-    subs = [p.strip() for e in paragraphs if e is not None for p in re.split(f"[{T.SPLIT_MARKS}]", e) if p.strip()]
-    if len(subs) not in (4, 8):
-        return "not_4_or_8_sublines"
-    lengths = {sum(c not in T.PUNCTUATION for c in s) for s in subs}
-    if len(lengths) > 1:
-        return "mixed_subline_lengths"
-    return "passed" if lengths <= {5, 7} else "uniform_but_not_5_or_7"
-
-
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.one_of(st.none(), st.lists(st.one_of(st.none(), PIECE), max_size=5)), min_size=1, max_size=30))
-def test_classifier_against_plain_rules(spark, records):
-    records = records + [["春" * 5 + "，" + "夏" * 5 + "。"] * 2, ["春" * 7 + "，" + "夏" * 7 + "。"] * 4, ["甲，乙，丙，丁"], ["甲乙，乙，丙，丁"]]
+#: Lengths of the sublines of a record, and its reason.
+SHAPES = [
+    ((5, 5, 5, 5), "passed"),
+    ((7,) * 4, "passed"),
+    ((5,) * 8, "passed"),
+    ((7,) * 8, "passed"),
+    ((6,) * 4, "uniform_but_not_5_or_7"),
+    ((1,) * 8, "uniform_but_not_5_or_7"),
+    ((5, 5, 5, 7), "mixed_subline_lengths"),
+    ((7, 5) * 4, "mixed_subline_lengths"),
+    ((5,) * 3, "not_4_or_8_sublines"),
+    ((5,) * 5, "not_4_or_8_sublines"),
+    ((7,) * 9, "not_4_or_8_sublines"),
+    ((), "empty_paragraphs"),
+]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_classifier_on_made_up_records(spark, seed):
+    """Records are built from the lengths of their sublines, so the reason is known beforehand."""
+    rng = random.Random(seed)
+    records, reasons = [], []
+    for _ in range(40):
+        shape, reason = rng.choice(SHAPES)
+        paragraphs, line = [], ""
+        for n in shape:
+            inner = rng.choice(["", "（", "《", " "])  # counts towards no length
+            line += rng.choice(["", "　", "，"]) + "春" * (n - 1) + inner + "夏" + rng.choice("，。！？；：、")
+            if rng.random() < 0.4:
+                paragraphs.append(line)
+                line = ""
+            if rng.random() < 0.2 and not line:
+                paragraphs.append(rng.choice([None, "", "。", " "]))
+        paragraphs += [line] if line else []
+        records.append(paragraphs if shape else rng.choice([None, []]))
+        reasons.append(reason)
+    records += [[None], ["。", " "], ["甲乙，乙，丙，丁"]]
+    reasons += ["not_4_or_8_sublines", "not_4_or_8_sublines", "mixed_subline_lengths"]
     df = spark.createDataFrame(list(enumerate(records)), "rec_id long, paragraphs array<string>")
     got = dict(K.classify(df).select("rec_id", "reason").collect())
-    assert got == {i: plain_reason(p) for i, p in enumerate(records)}
+    assert got == dict(enumerate(reasons))
 
 
 def test_classifier_summaries(spark):
@@ -91,26 +125,13 @@ def test_classifier_summaries(spark):
     assert K.classify(df.limit(0)).count() == 0
 
 
-def plain_subset(texts, target):
-    kept, size = [], 0
-    for i, t in enumerate(texts):
-        new = len("\n\n".join([*(texts[j] for j in kept), t]).encode())
-        if new <= target:
-            kept.append(i)
-            size = new
-        else:
-            if abs(target - new) < abs(target - size):
-                kept.append(i)
-            break
-    return kept
-
-
-@pytest.mark.parametrize("target", [0, 3, 7, 8, 12, 20, 1000])
-def test_subset_by_bytes(spark, target):
+# Sizes with separators: 花月 6, ab 10, 一二三 21, c 24, 日落西山 38, x 41.
+@pytest.mark.parametrize(("target", "kept"), [(0, 0), (3, 0), (4, 1), (6, 1), (8, 1), (9, 2), (10, 2), (15, 2), (16, 3), (21, 3), (23, 4), (31, 4), (32, 5), (40, 6), (41, 6), (1000, 6)])
+def test_subset_by_bytes(spark, target, kept):
     texts = ["花月", "ab", "一二三", "c", "日落西山", "x"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted(r.doc_id for r in C.subset_by_bytes(df, [("t", target)]).collect())
-    assert got == plain_subset(texts, target)
+    assert got == list(range(kept))
 
 
 def test_blocks_and_windows(spark):
@@ -120,8 +141,28 @@ def test_blocks_and_windows(spark):
     blocks = C.corpus_blocks(df, 4)
     assert "".join(t for _, t in sorted(map(tuple, blocks.collect()))) == corpus
     starts = spark.createDataFrame([(i,) for i in range(len(corpus) + 3)], "start long")
-    got = {r.start: (r.x, r.y) for r in C.windows(blocks, starts, 4).collect()}
-    assert got == {s: (corpus[s : s + 4], corpus[s + 1 : s + 5]) for s in range(len(corpus) - 4)}
+    expected = {s: (corpus[s : s + 4], corpus[s + 1 : s + 5]) for s in range(len(corpus) - 4)}
+    for stretch in (3, 1 << 16):
+        got = {r.start: (r.x, r.y) for r in C.windows(df, starts, 4, stretch=stretch).collect()}
+        assert got == expected
+    assert C.windows(df.limit(0), starts, 4).count() == 0
+
+
+def test_pairs_of_the_joined_corpus(spark):
+    texts = ["ab", "", None, "ba", "c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    corpus = "\n\n".join(t for t in texts if t is not None)
+    assert {(r.x, r.y): r.n for r in V.bigram_counts(df).collect()} == Counter(zip(corpus, corpus[1:], strict=False))
+    assert V.bigram_counts(df.limit(0)).count() == 0
+    one_ = df.where("doc_id = 0")
+    assert [tuple(r) for r in V.bigram_counts(one_).collect()] == [("a", "b", 1)]
+
+
+def test_numbered(spark):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1009 as v").repartition(7)
+    got = {r.v: r.pos for r in S.numbered(df, F.desc("v")).collect()}
+    assert got == {v: i for i, v in enumerate(sorted(got, reverse=True))}
+    assert S.numbered(df.limit(0), F.desc("v")).count() == 0
 
 
 def test_distribution_counts(spark):
