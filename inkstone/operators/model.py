@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.points import starts_of
@@ -145,3 +145,29 @@ def generate(prompts: DataFrame, weights: dict[str, np.ndarray], shape: Shape, n
     spark = prompts.sparkSession
     spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # each prompt is much work
     return prompts.select(F.col(key).alias("key"), F.col(ids).alias("ids"), F.xxhash64(key).alias("h")).repartition(spread, "key").mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+
+
+def save_model(spark: SparkSession, path: str, weights: dict[str, np.ndarray], shape: Shape, vocab: DataFrame) -> None:
+    """Keep weights, shape and vocabulary together, so that a text is decoded with the vocabulary the model was trained with."""
+    rows = [(name, list(w.shape), str(w.dtype), w.tobytes()) for name, w in weights.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, kind string, data binary").write.parquet(f"{path}/weights")
+    spark.createDataFrame([tuple(asdict(shape).values())], ", ".join(f"{f.name} {'boolean' if f.name == 'prototype' else 'int'}" for f in fields(Shape))).write.parquet(f"{path}/shape")
+    vocab.select("ch", "id").write.parquet(f"{path}/vocab")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[dict[str, np.ndarray], Shape, DataFrame]:
+    """Weights, shape and vocabulary (ch, id) as they were kept."""
+    weights = {r.name: np.frombuffer(r.data, r.kind).reshape(r["shape"]) for r in spark.read.parquet(f"{path}/weights").collect()}
+    return weights, Shape(**spark.read.parquet(f"{path}/shape").first().asDict()), spark.read.parquet(f"{path}/vocab")
+
+
+def last_logits(prompts: DataFrame, weights: dict[str, np.ndarray], shape: Shape, key: str = "prompt_id", ids: str = "ids") -> DataFrame:
+    """key, logits behind the last of each prompt's identifiers, of which the model sees the last `context`; null for an empty or null prompt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [None if not x else logits(weights, shape, np.array([x[-shape.context :]]), last=True)[0, 0].tolist() for x in b.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.list_(pa.float64()))], names=[key, "logits"])
+
+    kind = prompts.schema[key].dataType.simpleString()
+    return prompts.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"`{key}` {kind}, logits array<double>")

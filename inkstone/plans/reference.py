@@ -140,12 +140,6 @@ def _total(s: SparkSession, d: str) -> int:
     return V.total_chars(_docs(s, d)).first()[0]
 
 
-def _windows(s: SparkSession, d: str) -> DataFrame:
-    starts = V.batch_starts(_total(s, d), CONTEXT, BATCH, BATCHES)
-    frame = s.createDataFrame(starts, "batch int, row int, start long")
-    return C.windows(_docs(s, d), frame, CONTEXT)
-
-
 def _grid(s: SparkSession, d: str) -> DataFrame:
     """Windows at 100 starts spread evenly over the corpus."""
     last = _total(s, d) - CONTEXT - 1
@@ -263,7 +257,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "decode_docs": _decoded,
         "train_val_split": _split,
         "bigram_counts": lambda s, d: V.bigram_counts(_docs(s, d)),
-        "char_windows": _windows,
         "window_grid": _grid,
         "window_cover": _cover,
         "page_counts": _page_counts,

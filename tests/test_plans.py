@@ -4,11 +4,12 @@ import re
 
 import pytest
 
-from inkstone.plans import reference, training
+from inkstone.plans import files, models, reference, training
 
-QUERIES = {**reference.queries(), **training.queries()}
+MODULES = (reference, files, models, training)
+QUERIES = {name: q for m in MODULES for name, q in m.queries().items()}
 #: Queries that need Python: vocabulary look-ups, generation, the tokenizer, dense arrays.
-PYTHON = {"encode_docs", "decode_docs", "generate", "p4_found", "p6_found", "p6_key_totals"}
+PYTHON = {"encode_docs", "decode_docs", "generate", "training_batches", "model_logits", "prototype_logits", "greedy_ids", "p4_found", "p6_found", "p6_key_totals"}
 
 
 def plan(df):
@@ -43,3 +44,10 @@ def test_only_needed_columns_are_read(spark, small, name, columns):
 def test_filters_reach_the_scan(spark, small):
     assert re.search(r"PushedFilters: \[IsNotNull\(rec_id\)", plan(QUERIES["p4_found"](spark, small)))
     assert re.search(r"PushedFilters: \[[^\]]*source", plan(QUERIES["dataset_union_exclude"](spark, small)))
+
+
+@pytest.mark.parametrize("name", ["char_windows", "window_grid"])
+def test_windows_shuffle_no_texts(spark, small, name):
+    """Below every exchange of the plan texts are either not there or cut down to the pieces of the windows."""
+    text = plan(QUERIES[name](spark, small))
+    assert "_piece" in text and not re.search(r"Exchange hashpartitioning\(block", text)

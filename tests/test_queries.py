@@ -3,10 +3,11 @@
 import pytest
 from oracle import by_spark, by_sql
 
-from inkstone.plans import reference, training
+from inkstone.plans import files, models, reference, training
 
-QUERIES = {**reference.queries(), **training.queries()}
-SQL = {**reference.oracle_sql(), **training.oracle_sql()}
+MODULES = (reference, files, models, training)
+QUERIES = {name: q for m in MODULES for name, q in m.queries().items()}
+SQL = {name: sql for m in MODULES for name, sql in m.oracle_sql().items()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
