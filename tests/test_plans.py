@@ -9,7 +9,7 @@ from inkstone.plans import files, models, reference, training
 MODULES = (reference, files, models, training)
 QUERIES = {name: q for m in MODULES for name, q in m.queries().items()}
 #: Queries that need Python: vocabulary look-ups, generation, the tokenizer, dense arrays.
-PYTHON = {"encode_docs", "decode_docs", "generate", "training_batches", "model_logits", "prototype_logits", "greedy_ids", "p4_found", "p6_found", "p6_key_totals"}
+PYTHON = {"encode_docs", "decode_docs", "generate", "training_batches", "model_logits", "prototype_logits", "greedy_ids", "p4_found", "p4_plain", "p6_found", "p6_key_totals"}
 
 
 def plan(df):
