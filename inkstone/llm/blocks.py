@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from ..functions.points import code_points, starts_of  # noqa: F401
+
 U64 = np.uint64
-_ODD = U64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,16 +23,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts in a row, and the length of each text."""
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    return np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32), lengths
-
-
-def starts_of(lengths: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
-
-
 def gram_hashes(points: np.ndarray, n: int, seed: int) -> np.ndarray:
     """A 64-bit hash of each run of n code points (len(points) - n + 1 of them)."""
     m = len(points) - n + 1
@@ -59,12 +50,6 @@ def batch_of(columns: dict[str, tuple[np.ndarray, pa.DataType]]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in columns.values()], names=list(columns))
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    """All batches of a partition."""
-    kept = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(kept) if kept else None
-
-
 def group_starts(*keys: np.ndarray) -> np.ndarray:
     """First index of each group of equal neighbouring keys (the keys are sorted)."""
     new = np.zeros(len(keys[0]), bool)

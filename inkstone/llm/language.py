@@ -9,6 +9,7 @@ network trained on the other half of the sample places elsewhere are left out of
 from __future__ import annotations
 
 import hashlib
+import pickle
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,8 +24,8 @@ SAMPLE_DOCS, SAMPLE_DOC_BYTES, SAMPLE_LINES = 4000, 1 << 15, 6000
 HIDDEN = 16
 #: Weight decay of the training.
 DECAY = 0.02
-#: Batches of training: of each network that judges the sample, of the last one.
-STEPS = (300, 1000)
+#: Batches of training and rates of learning: of each network that judges the sample; of the last one, which goes on from the first of them.
+STEPS, RATES = (500, 500), (0.03, 0.03)
 #: Bytes of a line that one step of backpropagation goes through; where they begin in a longer line is drawn anew each time.
 TRAIN_BYTES = 64
 #: Byte positions that are labelled at once, and rows; lines of more positions are labelled stretch by stretch with the states carried on.
@@ -191,9 +192,11 @@ class Network:
         return [(np.ascontiguousarray(self.p["T"][k] * scale), np.ascontiguousarray(self.p["U"][k] * np.float32(0.5)), np.ascontiguousarray(self.p["W"][k])) for k in range(2)]
 
 
-def fit(lines: list[bytes], masks: list[np.ndarray], labels: np.ndarray, classes: int, steps: int = 1000, rate: float = 0.03, rows: int = 64, seed: int = 0) -> Network:
-    """Train by backpropagation through time with Adam; of a long line each step takes TRAIN_BYTES bytes from another place."""
+def fit(lines: list[bytes], masks: list[np.ndarray], labels: np.ndarray, classes: int, steps: int = 1000, rate: float = 0.03, rows: int = 48, seed: int = 0, start: dict[str, np.ndarray] | None = None) -> Network:
+    """Train by backpropagation through time with Adam; of a long line each step takes TRAIN_BYTES bytes from another place. start: weights to go on from."""
     net = Network(classes, seed=seed)
+    if start is not None:
+        net.p = {k: v.copy() for k, v in start.items()}
     rng = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -276,18 +279,21 @@ def _sample(labelled: DataFrame, key: str, text: str, docs: int) -> list[Row]:
 
 
 def _judge(lines: list[bytes], masks: list[np.ndarray], label: np.ndarray, half: np.ndarray, classes: int, seed: int):
-    """Which lines of each half (0, 1) a network that hasn't seen it, and can't have learned its errors by heart, places where their label does."""
+    """Which lines of each half (0, 1) a network that hasn't seen it, and can't have learned its errors by heart, places where their label does; and the networks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in b.column("id").to_pylist():
                 seen, other = np.flatnonzero(half != k), np.flatnonzero(half == k)
                 if len(seen) and len(other):
-                    net = fit([lines[i] for i in seen], [masks[i] for i in seen], label[seen], classes, steps=STEPS[0], seed=seed + k)
+                    net = fit([lines[i] for i in seen], [masks[i] for i in seen], label[seen], classes, steps=STEPS[0], rate=RATES[0], seed=seed + k)
                     size = np.array([len(lines[i]) for i in other])
                     scores = net.line_scores(np.frombuffer(b"".join(lines[i] for i in other), np.uint8), np.concatenate([masks[i] for i in other]) > 0, np.cumsum(size) - size, size)
                     other = other[scores[np.arange(len(other)), label[other]] >= 0.5 * scores.sum(1)]
-                yield pa.RecordBatch.from_arrays([pa.array(other, pa.int64())], names=["line"])
+                    weights = pickle.dumps(net.p)
+                else:
+                    weights = None
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([other], pa.list_(pa.int64())), pa.array([weights], pa.binary())], names=["half", "lines", "weights"])
 
     return run
 
@@ -316,17 +322,18 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", sample_d
             labels.append(c)
     if not lines:
         return None
-    digest = hashlib.blake2b(repr((codes, seed, STEPS, TRAIN_BYTES, HIDDEN, DECAY, labels)).encode())
+    digest = hashlib.blake2b(repr((codes, seed, STEPS, RATES, TRAIN_BYTES, HIDDEN, DECAY, labels)).encode())
     for w in lines:
         digest.update(w + b"\n")
     if digest.digest() in _FITTED:
         return _FITTED[digest.digest()]
     label, half = np.array(labels), rng.integers(0, 2, len(labels))
-    halves = labelled.sparkSession.range(0, 2, 1, 2).mapInArrow(_judge(lines, masks, label, half, len(codes), seed), "line long")
-    keep = np.array(sorted(r.line for r in halves.collect()), np.int64)  # numbers of sampled lines
+    halves = labelled.sparkSession.range(0, 2, 1, 2).mapInArrow(_judge(lines, masks, label, half, len(codes), seed), "half long, lines array<long>, weights binary")
+    judged = sorted(halves.collect(), key=lambda r: r.half)  # numbers of sampled lines, and two networks
+    keep = np.array(sorted(i for r in judged for i in r.lines), np.int64)
     if not len(keep):
         keep = np.arange(len(label))
-    net = fit([lines[i] for i in keep], [masks[i] for i in keep], label[keep], len(codes), steps=STEPS[1], seed=seed + 2)
+    net = fit([lines[i] for i in keep], [masks[i] for i in keep], label[keep], len(codes), steps=STEPS[1], rate=RATES[1], seed=seed + 2, start=pickle.loads(judged[0].weights) if judged[0].weights else None)
     if len(_FITTED) >= 8:
         _FITTED.pop(next(iter(_FITTED)))
     return _FITTED.setdefault(digest.digest(), (net, codes))

@@ -6,7 +6,8 @@ import random
 import numpy as np
 import pytest
 
-from inkstone.llm import expand, golay, versions
+import golay
+from inkstone.llm import expand, versions
 from inkstone.llm import lookalike as L
 
 SAME = [
