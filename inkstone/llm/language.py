@@ -192,7 +192,7 @@ class Network:
         return [(np.ascontiguousarray(self.p["T"][k] * scale), np.ascontiguousarray(self.p["U"][k] * np.float32(0.5)), np.ascontiguousarray(self.p["W"][k])) for k in range(2)]
 
 
-def fit(lines: list[bytes], masks: list[np.ndarray], labels: np.ndarray, classes: int, steps: int = 1000, rate: float = 0.03, rows: int = 48, seed: int = 0, start: dict[str, np.ndarray] | None = None) -> Network:
+def fit(lines: list[bytes], masks: list[np.ndarray], labels: np.ndarray, classes: int, steps: int = 1000, rate: float = 0.03, rows: int = 64, seed: int = 0, start: dict[str, np.ndarray] | None = None) -> Network:
     """Train by backpropagation through time with Adam; of a long line each step takes TRAIN_BYTES bytes from another place. start: weights to go on from."""
     net = Network(classes, seed=seed)
     if start is not None:
