@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classify as K
 from ..operators import corpus as C
+from ..operators import decoding as D
 from ..operators import metrics as M
 from ..operators import rank as R
 from ..operators import stats as S
@@ -32,6 +33,8 @@ RUNS = (("fresh", 1, 5), ("resumed", 4, 9))
 SMALL = Shape(vocab=13, context=4, width=4, layers=2, heads=2)
 PROTOTYPE = Shape(vocab=13, context=4, width=4, layers=1, heads=1, prototype=True)
 STEPS = 3
+#: Prompts that a report shows in quotes.
+PROMPTS = ("一\n二", "it's", 'say "x"', "both ' and \"", "back\\slash\ttab\r", "　春\u200b", "𤗀\u2028é", "")
 
 
 def _starts(s: SparkSession, d: str) -> DataFrame:
@@ -122,6 +125,13 @@ def _greedy(s: SparkSession, d: str) -> DataFrame:
     return out.where("size(ids) > 0").select("doc_id", (F.size("ids") - STEPS).alias("n_prompt"), F.array_join(F.slice("ids", -STEPS, STEPS).cast("array<string>"), " ").alias("new_ids"))
 
 
+def _quoted(s: SparkSession, d: str) -> DataFrame:
+    """A report's line for each prompt."""
+    rows = s.createDataFrame(list(enumerate(PROMPTS)), "n int, prompt string")
+    text = D.report(F.lit("Sample"), F.lit("base4.pt"), F.lit(1), F.col("prompt"), F.lit(0), F.lit(""), F.lit(None).cast("double"), F.lit(None).cast("int"))
+    return rows.select("n", F.regexp_extract(text, "(?s)Prompt: (.*?)\nMax new chars", 1).alias("shown"))
+
+
 def _kept(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "model")
     save_model(s, path, rule_weights(SMALL), SMALL, _vocab(s, d))
@@ -144,6 +154,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "prototype_logits": _logits(PROTOTYPE),
         "greedy_ids": _greedy,
         "kept_model": _kept,
+        "quoted_prompts": _quoted,
     }
 
 
@@ -256,5 +267,6 @@ def oracle_sql() -> dict[str, str]:
         "model_logits": logits(SMALL),
         "prototype_logits": logits(PROTOTYPE),
         "greedy_ids": f"WITH {greedy} SELECT doc_id, (count(*) - {STEPS})::INT AS n_prompt, string_agg(id::VARCHAR, ' ' ORDER BY p) FILTER (WHERE p >= n) AS new_ids FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) - {STEPS} AS n FROM coded{STEPS}) GROUP BY doc_id",
+        "quoted_prompts": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{shown}')" for i, shown in enumerate(repr(x).replace("'", "''") for x in PROMPTS)) + ") v(n, shown)",
         "kept_model": f"WITH {_CHARS} SELECT ch, id, {SMALL.width}::INT AS width, {SMALL.layers}::INT AS layers, {len(rule_weights(SMALL))}::INT AS matrices, {head}::DOUBLE AS head_sum FROM vocab",
     }
