@@ -135,3 +135,16 @@ def test_terms_against_counting(spark):
         rec.update(set("".join(p)))
     got = {r.term: (r.occurrences, r.records) for r in terms.term_counts(frame(spark, records + records[:50]).repartition(6)).collect()}
     assert got == {t: (occ[t], rec[t]) for t in occ}
+
+
+def test_one_partition_is_settled_batch_by_batch(spark, small):
+    """The number of shuffle partitions changes nothing: a task settles its rows batch by batch."""
+    from inkstone.llm.queries import queries
+
+    name = "spark.sql.shuffle.partitions"
+    before, found = spark.conf.get(name), []
+    for n in ("1", "16"):
+        spark.conf.set(name, n)
+        found.append(sorted(map(tuple, queries()["p1_found"](spark, small).collect())))
+    spark.conf.set(name, before)
+    assert found[0] == found[1]
