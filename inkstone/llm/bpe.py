@@ -19,6 +19,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -278,3 +279,23 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", name: s
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, n_tokens long")
+
+
+def decode_ids(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
+    """key, text of each list of ids; null for a null list. Ids outside the vocabulary are an error; bytes that are no text become replacement characters."""
+    sent = _sent(encoded, name, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = sent.value
+        for b in batches:
+            lists = b.column("ids")
+            at = v.place[lists.flatten().to_numpy()]
+            data = v.data[ragged(v.begin[at], v.length[at])].tobytes()
+            count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            total = np.concatenate([[0], np.cumsum(v.length[at])])
+            ends = total[np.cumsum(count)]
+            texts = [None if n is None else data[i:j].decode("utf-8", "replace") for i, j, n in zip(np.concatenate([[0], ends[:-1]]), ends, pc.list_value_length(lists).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(texts, pa.string())], names=[key, "text"])
+
+    kind = encoded.schema[key].dataType.simpleString()
+    return encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"`{key}` {kind}, text string")

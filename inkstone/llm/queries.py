@@ -92,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_spelling": lambda s, d: lookalike.consistent_spelling(_records(s, d)),
         "p5_found": lambda s, d: versions.version_pairs(table(s, d, "tang_poem")),
         "p7_ids": lambda s, d: bpe.encode_texts(table(s, d, "documents")),
+        "p7_decoded": lambda s, d: bpe.decode_ids(bpe.encode_texts(table(s, d, "documents"))),
         "p8_packing": lambda s, d: packing.pack_sequences(bpe.token_counts(table(s, d, "documents"))),
         "p8_fill": lambda s, d: packing.sequence_fill(packing.pack_sequences(bpe.token_counts(table(s, d, "documents")))),
         "p9_found": lambda s, d: language.mislabelled_runs(table(s, d, "documents"), table(s, d, "lang_name")),
@@ -151,6 +152,7 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT *, coalesce(title, '') || coalesce(list_aggregate(paragraphs, 'string_agg', ''), '') AS body FROM t WHERE len(paragraphs) > 0 AND {shown}),
             u AS (SELECT * FROM k WHERE length(regexp_replace(body, '[^\\p{{L}}\\p{{N}}]', '', 'g')) > 1)
             SELECT a.rec_id AS rec_a, b.rec_id AS rec_b FROM u a JOIN u b ON a.paragraphs = b.paragraphs AND a.title IS NOT DISTINCT FROM b.title AND a.rec_id < b.rec_id""",
+        "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p8_faults": no_fault,
         "p8_online_faults": no_fault,
         "p9_labels": f"""WITH n AS (SELECT name, any_value(lang) AS code FROM lang_name WHERE name IS NOT NULL GROUP BY name)

@@ -91,6 +91,10 @@ def test_encode_texts(spark, reference):
     assert got == sorted(((i, reference.encode_ordinary(t or "")) for i, t, _ in data), key=repr)
     assert sorted(((r.doc_id, r.n_tokens) for r in bpe.token_counts(df).collect()), key=repr) == sorted(((i, len(x)) for i, x in got), key=repr)
     assert bpe.encode_texts(df.limit(0)).count() == 0
+    back = sorted(((r.doc_id, r.text) for r in bpe.decode_ids(bpe.encode_texts(df)).collect()), key=repr)
+    assert back == sorted(((i, t or "") for i, t, _ in data), key=repr)
+    odd = spark.createDataFrame([(1, None), (2, []), (3, bpe.vocabulary().of_byte[[0xE6, 0x98]].tolist())], "doc_id long, ids array<int>")
+    assert dict(bpe.decode_ids(odd).collect()) == {1: None, 2: "", 3: "\ufffd"}
 
 
 def plain_best_fit(sizes, capacity):
