@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import METRICS
@@ -43,8 +43,12 @@ def write_json_array(df: DataFrame, path: str, order: list[str], mode: str = "er
 def write_array_files(df: DataFrame, folder: str, source: str = "source_file", order: str = "rec_pos") -> None:
     """A JSON array file for each source, of that name; the records of a source are written in order, one after the other."""
     spark = df.sparkSession
-    lines = json_array_lines(df, [order], [source]).withColumn("_name", F.col(source))
-    lines.repartition(source).sortWithinPartitions(source, order).select("_name", "line").write.partitionBy("_name").text(folder)
+    w = Window.partitionBy(source).orderBy(order)
+    record = F.to_json(F.struct(*[c for c in df.columns if c not in (source, order)]))
+    line = F.concat(F.when(F.row_number().over(w) == 1, "[").otherwise(","), record, F.when(F.lead(F.lit(1)).over(w).isNull(), "]").otherwise(""))
+    # the window keeps a source in one task; a join or a repartition here may be read in pieces by adaptive execution, and a source then gets several files
+    lines = df.select(source, order, line.alias("line")).sortWithinPartitions(source, order)
+    lines.select(F.col(source).alias("_name"), "line").write.partitionBy("_name").text(folder)
     name_files(spark, folder, "_name")
 
 

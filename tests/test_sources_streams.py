@@ -157,3 +157,13 @@ def test_every_output_is_optional(spark, tmp_path):
         sinks.write_corpus(df, str(tmp_path / "c"), ["doc_id"])
     sinks.write_corpus(df.where(F.lit(False)), str(tmp_path / "c"), ["doc_id"], mode="ignore")
     assert "a" in "".join(p.read_text() for p in (tmp_path / "c").glob("part-*"))
+
+
+def test_a_source_has_one_file_however_large(spark, tmp_path, rows):
+    n = 40_000
+    df = spark.range(n).repartition(12).selectExpr("concat('s', id % 3, '.json') AS source_file", "cast(id div 3 AS int) AS rec_pos", "repeat(sha2(cast(id AS string), 512), 5) AS author")
+    sinks.write_array_files(df.dropDuplicates(["rec_pos", "source_file"]), str(tmp_path / "files"))
+    files = {p.name: json.loads(p.read_text()) for p in (tmp_path / "files").glob("*.json")}
+    assert sorted(files) == ["s0.json", "s1.json", "s2.json"]
+    want = {(r.source_file, r.rec_pos): r.author for r in df.collect()}
+    assert {(f, i): x["author"] for f, v in files.items() for i, x in enumerate(v)} == want
