@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -77,7 +77,19 @@ def inspect(spark: SparkSession, path: str) -> DataFrame:
     top = F.when(F.btrim("value", F.lit(" \t\r\n")).startswith("["), "array").otherwise("object")
     first = F.when(top == "array", F.get_json_object("value", "$[0]")).otherwise(F.col("value"))
     n = F.when(top == "array", F.json_array_length("value")).otherwise(F.lit(1))
-    return files.select("source_file", top.alias("top"), n.alias("records"), F.json_object_keys(first).alias("keys"), F.from_json(first, "map<string,string>").alias("first"))
+    values = F.from_json(first, "map<string,string>")
+    kinds = F.try_parse_json(first).try_cast("map<string,variant>")
+    told = files.select("source_file", top.alias("top"), n.alias("records"), F.json_object_keys(first).alias("keys"), values.alias("first"), kinds.alias("kinds"))
+    shown = F.transform_values("first", lambda k, v: F.when(F.schema_of_variant(F.col("kinds")[k]) == "STRING", v).otherwise(_whole_characters(v)))
+    return told.select("source_file", "top", "records", "keys", shown.alias("first"))
+
+
+def _whole_characters(json: Column) -> Column:
+    """JSON text with the character itself for each escaped pair of surrogates, as which Spark writes characters beyond the basic plane."""
+    pair = r"\\uD[89AB][0-9A-F]{2}\\uD[C-F][0-9A-F]{2}"
+    tokens = F.regexp_extract_all(json, F.lit(rf"(?s){pair}|[^\\]+|\\."), F.lit(0))
+    char = lambda t: F.decode(F.unhex(F.concat(F.substring(t, 3, 4), F.substring(t, 9, 4))), "UTF-16BE")
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(f"^{pair}$"), char(t)).otherwise(t)), "")
 
 
 def metric_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -167,3 +167,18 @@ def test_a_source_has_one_file_however_large(spark, tmp_path, rows):
     assert sorted(files) == ["s0.json", "s1.json", "s2.json"]
     want = {(r.source_file, r.rec_pos): r.author for r in df.collect()}
     assert {(f, i): x["author"] for f, v in files.items() for i, x in enumerate(v)} == want
+
+
+def test_inspect_shows_characters_beyond_the_basic_plane(spark, tmp_path):
+    long = "字𤗀\\" * 3000
+    first = {"a": ["𤗀\\uD855\\uDE1C", '"', {"b": "\n𧴌"}], "t": "[\\uD855\\uDE1C𤗀", "n": 1.50, "e": None, "l": [long], "j": json.dumps(["𤗀"])}
+    (tmp_path / "a.json").write_text(json.dumps([first, {}], ensure_ascii=False))
+    (tmp_path / "twice.json").write_text('[{"a":"x","a":["𤗀"]}]')
+    (tmp_path / "lone.json").write_text('[{"a":["\\ud855","𤗀"]}]')
+    (tmp_path / "o.json").write_text('{"p":["𤗀"]}')
+    got = {r.source_file: r for r in J.inspect(spark, str(tmp_path)).collect()}
+    plain = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    assert got["a.json"].first == {"a": plain(first["a"]), "t": first["t"], "n": "1.5", "e": None, "l": plain(first["l"]), "j": first["j"]}
+    assert got["a.json"].records == 2 and got["a.json"].keys == list(first)
+    assert got["o.json"].first == {"p": '["𤗀"]'} and got["o.json"].top == "object"
+    assert got["twice.json"].first == {"a": '["𤗀"]'} and got["lone.json"].first["a"].endswith('"𤗀"]')
