@@ -6,7 +6,7 @@ from oracle import by_spark, by_sql
 
 from inkstone.plans import files
 
-NAMES = ["base_names", "inspect_files", "dataset_lines", "scan_counts", "dataset_by_ids", "json_scan"]
+NAMES = ["base_names", "inspect_files", "dataset_lines", "scan_counts", "dataset_by_ids", "json_scan", "spread_body"]
 
 
 @pytest.fixture(scope="module")
