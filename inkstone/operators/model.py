@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.points import starts_of
 
 
-#: Prompts that run together.
-_ROWS = 512
+#: Prompts that run together, and those of them whose logits over the vocabulary are held at once, so that these stay in the cache.
+_ROWS, _HELD = 512, 128
 
 
 @dataclass(frozen=True)
@@ -67,16 +67,21 @@ def _attention(x: np.ndarray, qkv: np.ndarray, shape: Shape, last: bool) -> np.n
     return ((e / e.sum(-1, keepdims=True)) @ v).transpose(0, 2, 1, 3).reshape(b, own, c)
 
 
-def logits(weights: dict[str, np.ndarray], shape: Shape, ids: np.ndarray, last: bool = False) -> np.ndarray:
-    """Logits (rows, places, vocabulary) of rows of identifiers no longer than the context; with last, of the last place only."""
-    x = weights["token"][ids] + weights["place"][: ids.shape[1]]
+def _states(weights: dict[str, np.ndarray], shape: Shape, ids: np.ndarray, last: bool) -> np.ndarray:
+    """What the logits are made of: (rows, places, width)."""
+    x = weights["token"].take(ids, 0) + weights["place"][: ids.shape[1]]
     for i in range(shape.layers):
         only = last and i == shape.layers - 1  # in the last layer no other place counts any more
         a = _attention(_normal(x, weights[f"{i}.norm1"]), weights[f"{i}.qkv"], shape, only)
         x = (x[:, -1:] if only else x) + (a if shape.prototype else a @ weights[f"{i}.out"] + weights[f"{i}.out_bias"])
         h = np.maximum(_normal(x, weights[f"{i}.norm2"]) @ weights[f"{i}.up"] + weights[f"{i}.up_bias"], 0)
         x = x + h @ weights[f"{i}.down"] + weights[f"{i}.down_bias"]
-    return _normal(x, weights["norm"]) @ weights["head"] + weights["head_bias"]
+    return _normal(x, weights["norm"])
+
+
+def logits(weights: dict[str, np.ndarray], shape: Shape, ids: np.ndarray, last: bool = False) -> np.ndarray:
+    """Logits (rows, places, vocabulary) of rows of identifiers no longer than the context; with last, of the last place only."""
+    return _states(weights, shape, ids, last) @ weights["head"] + weights["head_bias"]
 
 
 def loss(weights: dict[str, np.ndarray], shape: Shape, x: np.ndarray, y: np.ndarray) -> float:
@@ -93,21 +98,46 @@ def _draw(z: np.ndarray, uniform: np.ndarray) -> np.ndarray:
     return np.minimum((c <= uniform[:, None]).sum(-1), p.shape[-1] - 1 - np.argmax(p[:, ::-1] > 0, -1))
 
 
-def _next(z: np.ndarray, temperature: float | None, k: int | None, uniform: np.ndarray) -> np.ndarray:
-    if temperature is None:
-        return z.argmax(-1)
-    if not k or k < 0:
-        return _draw(z.astype(np.float64) / temperature, uniform)
+def _greatest(z: np.ndarray, k: int) -> np.ndarray:
+    """Identifiers of each row's k greatest logits, in rising order; of equal logits the lesser identifiers."""
     n = z.shape[-1]
-    if k > n:
-        raise ValueError("k is greater than the vocabulary")
     least = np.partition(z, n - k, axis=-1)[:, n - k, None]
     kept = z >= least
-    if np.count_nonzero(kept) > k * len(z):  # of equal logits the lesser identifiers stay
+    if np.count_nonzero(kept) > k * len(z):
         above = z > least
         tied = kept & ~above
         kept = above | tied & (np.cumsum(tied, -1) <= k - above.sum(-1, keepdims=True))
-    ids = (np.flatnonzero(kept) % n).reshape(-1, k)
+    return (np.flatnonzero(kept) % n).reshape(-1, k)
+
+
+def _greatest_by_groups(z: np.ndarray, k: int) -> np.ndarray:
+    """As _greatest, for many logits: they are all within the k groups whose greatest logits are greatest, unless groups tie."""
+    rows, n = z.shape
+    groups = min(2 * math.isqrt(k * n), n)  # identifiers with the same rest are a group; k at least
+    whole = n // groups * groups
+    top = z[:, :whole].reshape(rows, -1, groups).max(1)
+    np.maximum(top[:, : n - whole], z[:, whole:], out=top[:, : n - whole])
+    kept = top >= np.partition(top, groups - k, axis=-1)[:, groups - k, None]
+    if np.count_nonzero(kept) > k * rows:
+        return _greatest(z, k)
+    of = (np.flatnonzero(kept) % groups).reshape(rows, 1, k)
+    ids = of + np.arange(0, n, groups)[:, None]  # rising; the last of a group may lie behind the vocabulary
+    behind = ids[:, -1] >= n
+    at = ids + np.arange(0, rows * n, n)[:, None, None]
+    at[:, -1][behind] = 0
+    held = z.take(at)
+    held[:, -1][behind] = -np.inf
+    return np.take_along_axis(ids.reshape(rows, -1), _greatest(held.reshape(rows, -1), k), -1)
+
+
+def _next(z: np.ndarray, temperature: float | None, k: int | None, uniform: np.ndarray) -> np.ndarray:
+    if temperature is None:
+        return z.argmax(-1)
+    if not k or k < 0:
+        return _draw(z.astype(np.float64) / temperature, uniform)
+    if k > z.shape[-1]:
+        raise ValueError("k is greater than the vocabulary")
+    ids = _greatest_by_groups(z, k)
     drawn = _draw(np.take_along_axis(z, ids, -1).astype(np.float64) / temperature, uniform)
     return np.take_along_axis(ids, drawn[:, None], -1)[:, 0]
 
@@ -119,6 +149,7 @@ def generate(prompts: DataFrame, weights: dict[str, np.ndarray], shape: Shape, n
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space, biased = np.empty((_HELD, 1, shape.vocab), np.result_type(*weights.values())), weights["head_bias"].any()
         for b in batches:
             lists, keys = b.column("ids"), b.column("h").to_pylist()
             length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
@@ -135,8 +166,12 @@ def generate(prompts: DataFrame, weights: dict[str, np.ndarray], shape: Shape, n
                     have = np.concatenate([values[end[:, None] - np.arange(n, 0, -1)], np.zeros((len(own), new), np.int32)], 1)
                     uniform = np.stack([np.random.default_rng([seed, keys[i] & 0xFFFFFFFF]).random(new) for i in own])
                     for j in range(new):
-                        z = logits(weights, shape, have[:, max(n + j - shape.context, 0) : n + j], last=True)[:, 0]
-                        have[:, n + j] = _next(z, temperature, k, uniform[:, j])
+                        x = _states(weights, shape, have[:, max(n + j - shape.context, 0) : n + j], last=True)
+                        for i in range(0, len(own), _HELD):
+                            z = np.matmul(x[i : i + _HELD], weights["head"], out=space[: len(own) - i])[:, 0]  # each by itself: a product of many rounds by their places
+                            if biased:
+                                z += weights["head_bias"]
+                            have[i : i + _HELD, n + j] = _next(z, temperature, k, uniform[i : i + _HELD, j])
                     out[(offsets[own] + length[own])[:, None] + np.arange(new)] = have[:, n:]
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out))
             yield pa.RecordBatch.from_arrays([b.column("key"), lists], names=[key, "ids"])

@@ -185,6 +185,35 @@ def test_model_is_causal_and_generates(spark):
     assert N.logits(N.random_weights(old), old, ids).shape == (1, 4, 11)
 
 
+@pytest.mark.parametrize("n, k", [(1, 1), (5, 5), (7, 1), (21, 20), (30, 20), (100, 3), (3001, 20), (1000, 999)])
+@pytest.mark.parametrize("kind", ["apart", "tied", "infinite"])
+def test_greatest_logits_by_groups(n, k, kind):
+    z = np.random.default_rng(n).normal(size=(30, n)).astype(np.float32)
+    if kind == "tied":
+        z = np.round(z * 2) / 2
+    if kind == "infinite":
+        z[:, n // 3 :] = -np.inf
+    want = np.sort(np.argsort(-z, axis=-1, kind="stable")[:, :k], -1)
+    assert (N._greatest_by_groups(z, k) == want).all()
+
+
+def test_generates_for_more_prompts_than_are_held_at_once(spark):
+    shape = N.Shape(vocab=300, context=4, width=8, heads=2)
+    w = N.random_weights(shape)
+    w["head_bias"] = np.linspace(-1, 1, 300, dtype=np.float32)
+    prompts = [[(i * 7 + j) % 300 for j in range(1 + i % 5)] for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(prompts)), "prompt_id long, ids array<int>").coalesce(1)
+    hashes = dict(df.select("prompt_id", F.xxhash64("prompt_id")).collect())
+    got = dict(N.generate(df, w, shape, new=3, temperature=0.7, k=6).collect())
+    for i, have in enumerate(prompts):
+        for u in np.random.default_rng([42, hashes[i] & 0xFFFFFFFF]).random(3):
+            z = N.logits(w, shape, np.array([have[-4:]]))[0, -1].astype(float) / 0.7
+            best = sorted(np.argsort(-z, kind="stable")[:6])
+            p = np.exp(z[best] - z.max())
+            have = [*have, int(best[min((np.cumsum(p / p.sum()) <= u).sum(), 5)])]
+        assert got[i] == have
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (5, 5), (None, 3), (101, 100)] + [(200, x) for x in range(201, 260)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
